@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -16,91 +19,127 @@ CAPACITY = 1024
 #: Tails are cut into parts of at most this many tokens, so that a window has several to balance with.
 MAX_PART = 256
 #: Windows that are packed at once: the bound on a task's memory.
-BLOCK_WINDOWS = 256
-CACHE = 400_000
+BLOCK_WINDOWS = 512
+#: Characters that are encoded at once, with one text at least.
+BATCH = 24_000_000
 
 #: The tokenizer's own split of a text into pieces that are encoded alone; a fixed value.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose class every Unicode version and library agrees.
-PLAIN = regex.compile("[\t-\r\x20-\x7e¡-¬®-ɏ‐-‧‰-›]*+")
+PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u203a]*")
+
+
+def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """The vocabulary by bytes. Its strings stand for bytes: visible Latin-1 for itself, the other
+    bytes in order from code point 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [x for x in range(256) if x not in visible]
+    of = {chr(x): x for x in visible} | {chr(256 + i): x for i, x in enumerate(hidden)}
+    return {bytes(of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in of for c in token)}
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. A piece is encoded once and kept; a text that
-    holds an added token's string or an unusual character goes to the tokenizer whole."""
+    """Token ids as little-endian unsigned 32-bit bytes.
+
+    A run without white space, with the single space before it, is encoded independently of its
+    neighbours. A batch's distinct runs are therefore encoded once, as one text in which each run's
+    first token is the one that begins with a space, and every text is gathered from them. A text with
+    other white space than single inner spaces and newlines is split alone; one that holds an added
+    token's string or an unusual character goes to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        ranks = byte_ranks(self.tokenizer.get_vocab(with_added_tokens=False))
+        self.merge = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[i for b, i in ranks.items() if b[:1] == b" "]] = True
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if any(a in text for a in self.added) or not PLAIN.fullmatch(text):
-            return self.whole(text)
-        known, pieces = self.known, PIECES.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for p in set(pieces).difference(known):
-                known[p] = self.whole(p)
-            return b"".join([known[p] for p in pieces])
-
-
-def differencing(sizes: list[int], ways: int) -> list[list[int]]:
-    """Indexes of ``sizes`` in ``ways`` sets of near-equal sums.
-
-    Each item begins as a partial partition (size, 0, ..., 0). The two of largest spread are merged
-    with opposing imbalances, the largest set of one with the smallest of the other, until one is left.
-    Sets are kept as trees of joins and read at the end.
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def split(self, text: str) -> bytes:
+        return array("I", self.merge.encode_ordinary(text)).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, fast = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if not PLAIN.fullmatch(t) or any(a in t for a in self.added):
+                out[i] = self.whole(t)
+            elif not t or "  " in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n":
+                out[i] = self.split(t)
+            else:
+                fast.append(i)
+        if fast:
+            lists = pc.split_pattern(pa.array([texts[i] for i in fast], pa.large_string()), " ")
+            runs = lists.values.dictionary_encode()
+            distinct = pa.LargeListArray.from_arrays(pa.array([0, len(runs.dictionary)], pa.int64()), runs.dictionary)
+            ids = self.merge.encode_to_numpy(" " + pc.binary_join(distinct, " ")[0].as_py())
+            starts = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).astype(np.int64) * 4
+            coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(ids.astype("<u4"))])
+            gathered = coded.take(runs.indices)
+            at = np.frombuffer(gathered.buffers()[1], np.int64)[gathered.offset :]
+            data, edges = memoryview(gathered.buffers()[2]), lists.offsets.to_pylist()
+            for i, lo, hi in zip(fast, edges, edges[1:]):
+                out[i] = self.split(texts[i].split(" ", 1)[0]) + bytes(data[at[lo + 1] : at[hi]])
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def differencing(sizes: list[int], ways: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set (0 to ways - 1) of each of ``sizes``, and the sets' sums, near-equal.
+
+    The sizes in falling order give partial partitions of one item per set each, the balanced start of
+    multiway differencing. The two partial partitions of largest spread are merged with opposing
+    imbalances, the largest set of one with the smallest of the other, until one is left. A merge
+    relabels sets, so a partial partition holds the items and, for each, its set.
     """
-    joins: list[tuple[int, int]] = []
-    base = len(sizes)
+    order = np.argsort(-np.asarray(sizes, np.int64), kind="stable")
+    values = np.asarray(sizes, np.int64)[order]
     heap = []
-    for i, x in enumerate(sizes):
-        sums, nodes = np.zeros(ways, np.int64), np.full(ways, -1, np.int64)
-        sums[-1], nodes[-1] = x, i
-        heap.append((-x if ways > 1 else 0, i, sums, nodes))
+    for lo in range(0, len(order), ways):
+        own = order[lo : lo + ways]
+        sums = np.zeros(ways, np.int64)
+        sums[ways - len(own) :] = values[lo : lo + ways][::-1]
+        sets = np.arange(ways - 1, ways - 1 - len(own), -1)
+        heap.append((-int(sums[-1] - sums[0]), lo, sums, own, sets))
     heapq.heapify(heap)
-    tick = base
     while len(heap) > 1:
-        _, _, a, an = heapq.heappop(heap)
-        _, _, b, bn = heapq.heappop(heap)
-        sums, bn = a + b[::-1], bn[::-1]
-        nodes = np.where(an < 0, bn, an)
-        for at in np.flatnonzero((an >= 0) & (bn >= 0)):
-            joins.append((int(an[at]), int(bn[at])))
-            nodes[at] = base + len(joins) - 1
-        order = np.argsort(sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        sums -= sums[0]
-        tick += 1
-        heapq.heappush(heap, (-int(sums[-1]), tick, sums, nodes))
-    out = []
-    for node in heap[0][3] if heap else []:
-        items, open_ = [], [int(node)] if node >= 0 else []
-        while open_:
-            n = open_.pop()
-            if n < base:
-                items.append(n)
-            else:
-                open_.extend(joins[n - base])
-        out.append(sorted(items))
-    return [s for s in out if s]
-
-
-def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Near-equal windows of at most ``capacity``; their count rises as long as one is over it."""
+        _, tick, a, items, sets = heapq.heappop(heap)
+        _, _, b, more, other = heapq.heappop(heap)
+        sums = a + b[::-1]
+        rising = np.argsort(sums, kind="stable")
+        place = np.empty(ways, np.int64)
+        place[rising] = np.arange(ways)
+        sums = sums[rising]
+        joined = np.concatenate([place[sets], place[ways - 1 - other]])
+        heapq.heappush(heap, (-int(sums[-1] - sums[0]), tick, sums, np.concatenate([items, more]), joined))
+    _, _, sums, items, sets = heap[0]
+    out = np.empty(len(order), np.int64)
+    out[items] = sets
+    return out, sums
+
+
+def windows(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
+    """The window of each size: near-equal windows of at most ``capacity``, whose count rises as long
+    as one is over it."""
     ways = max(1, -(-sum(sizes) // capacity))
     while True:
-        sets = differencing(sizes, ways)
-        if all(sum(sizes[i] for i in s) <= capacity for s in sets):
+        sets, sums = differencing(sizes, ways)
+        if sums[-1] <= capacity:
             return sets
         ways += 1
 
@@ -125,18 +164,20 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, max_part: int = M
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         serial = part << 32
         ready, tails, held = [], [], 0
 
         def flush():
             nonlocal serial, tails, held
-            for members in windows([t[2] for t in tails], capacity) if tails else ():
-                at = 0
-                for i in members:
-                    ready.append((*tails[i], serial, at))
-                    at += tails[i][2]
-                serial += 1
+            if tails:
+                sets = windows([t[2] for t in tails], capacity)
+                used, sets = np.unique(sets, return_inverse=True)
+                at = [0] * len(used)
+                for t, w in zip(tails, sets.tolist()):
+                    ready.append((*t, serial + w, at[w]))
+                    at[w] += t[2]
+                serial += len(used)
             tails, held = [], 0
 
         def out():
@@ -145,8 +186,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, max_part: int = M
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in _DDL.split(", ")])
 
         for b in batches:
-            for doc_id, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(body or "") + b"\0\0\0\0"
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            groups = np.cumsum([len(t) for t in texts]) // BATCH if texts else []
+            coded = (ids for _, some in groupby(zip(groups, texts), lambda x: x[0]) for ids in encode([t for _, t in some]))
+            for doc_id, ids in zip(b.column(0).to_pylist(), coded):
+                ids += b"\0\0\0\0"
                 total, start = len(ids) // 4, 0
                 for n in cut(total, capacity, max_part):
                     crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)])
