@@ -77,7 +77,7 @@ class Encoder:
         if fast:
             lists = pc.split_pattern(pa.array([texts[i] for i in fast], pa.large_string()), " ")
             runs = lists.values.dictionary_encode()
-            distinct = pa.LargeListArray.from_arrays(pa.array([0, len(runs.dictionary)], pa.int64()), runs.dictionary)
+            distinct = pa.ListArray.from_arrays(pa.array([0, len(runs.dictionary)], pa.int32()), runs.dictionary.cast(pa.string()))
             ids = self.merge.encode_to_numpy(" " + pc.binary_join(distinct, " ")[0].as_py())
             starts = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).astype(np.int64) * 4
             coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(ids.astype("<u4"))])
