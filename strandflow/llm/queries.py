@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, neardup, packing, quality, topk
+from . import linededup, mixing, neardup, packing, quality, substring, topk
 from .shared import table
 
 
@@ -13,6 +13,7 @@ def _on(name, apply):
 QUERIES = {
     "op1_mixing": _on("documents", mixing.op1),
     "op2_line_dedup": _on("documents", linededup.op2),
+    "op4_substring_dedup": _on("documents", substring.op4),
     "op5_near_dedup": _on("documents", neardup.op5),
     "op7_quality_rules": _on("documents", quality.op7),
     "op9_packing": _on("documents", packing.op9),
@@ -22,6 +23,7 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.SQL,
     "op2_line_dedup": linededup.SQL,
+    "op4_substring_dedup": substring.SQL,
     "op5_near_dedup": neardup.SQL,
     "op7_quality_rules": quality.SQL,
     "op10_top_k": topk.SQL,
