@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, neardup, packing, quality, substring, topk
+from . import langid, linededup, mixing, neardup, packing, quality, secrets, substring, topk
 from .shared import table
 
 
@@ -13,9 +13,11 @@ def _on(name, apply):
 QUERIES = {
     "op1_mixing": _on("documents", mixing.op1),
     "op2_line_dedup": _on("documents", linededup.op2),
+    "op3_language_id": _on("documents", langid.op3),
     "op4_substring_dedup": _on("documents", substring.op4),
     "op5_near_dedup": _on("documents", neardup.op5),
     "op7_quality_rules": _on("documents", quality.op7),
+    "op8_secret_scans": _on("documents", secrets.op8),
     "op9_packing": _on("documents", packing.op9),
     "op10_top_k": _on("embeddings", topk.op10),
 }
