@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, neardup, packing, quality, secrets, substring, topk
+from . import chat, langid, linededup, mixing, neardup, packing, quality, secrets, substring, topk
 from .shared import table
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_language_id": _on("documents", langid.op3),
     "op4_substring_dedup": _on("documents", substring.op4),
     "op5_near_dedup": _on("documents", neardup.op5),
+    "op6_chat_format": _on("conversations", chat.op6),
     "op7_quality_rules": _on("documents", quality.op7),
     "op8_secret_scans": _on("documents", secrets.op8),
     "op9_packing": _on("documents", packing.op9),
