@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import alignments, codes, numbers, sequences, structures
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (sequences, alignments, numbers, structures, codes):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
