@@ -152,11 +152,11 @@ def _emit(groups, make, ddl: str, size: int = 5000) -> Iterator[pa.RecordBatch]:
     yield _batch(rows, ddl)
 
 
-_RESOLVED = "conv_id long, chunk long, start array<long>, end int, last boolean"
+_RESOLVED = "conv_id long, chunk long, start int, end int, last boolean"
 
 
 def _resolve(matrices: DataFrame) -> DataFrame:
-    """For (conv_id, chunk, m), each chunk's forward costs at its start and its state at its end.
+    """For (conv_id, chunk, m), each chunk's states at its start and end on a cheapest way.
 
     Chunks of one conversation are combined in order, FAN at a time: matrices are multiplied upwards
     until a conversation is one group, and start and end are handed down again.
@@ -165,20 +165,22 @@ def _resolve(matrices: DataFrame) -> DataFrame:
     span = matrices.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
     def down(items, start, end, last):
-        """Start and end of each of ``items`` (chunk, matrix), given those of the whole."""
-        costs = [start]
+        """Start and end of each of ``items`` (chunk, matrix), given those of the whole; end None: any that
+        ends the conversation cheaply."""
+        costs = [np.where(np.arange(5) == start, 0, INF)]
         for _, m in items:
             costs.append(np.minimum((costs[-1][:, None] + m).min(0), INF))
-        ends = [int((costs[-1] + ENDING).argmin()) if end is None else end]
+        states = [int((costs[-1] + ENDING).argmin()) if end is None else end]
         for cost, (_, m) in zip(costs[-2:0:-1], items[:0:-1]):
-            ends.append(int((cost + m[:, ends[-1]]).argmin()))
-        return [(c, s.tolist(), e, bool(last and i == len(items) - 1)) for i, ((c, _), s, e) in enumerate(zip(items, costs, ends[::-1]))]
+            states.append(int((cost + m[:, states[-1]]).argmin()))
+        states.append(start)
+        states.reverse()
+        return [(c, s, e, bool(last and i == len(items) - 1)) for i, ((c, _), s, e) in enumerate(zip(items, states, states[1:]))]
 
-    begin = np.where(np.arange(5) == 0, 0, INF)
     matrix = lambda m: np.asarray(m, np.int64).reshape(5, 5)
     if span <= FAN:
         def top(batches):
-            make = lambda key, rows: [(key[0], *x) for x in down([(r[1], matrix(r[2])) for r in rows], begin, None, True)]
+            make = lambda key, rows: [(key[0], *x) for x in down([(r[1], matrix(r[2])) for r in rows], 0, None, True)]
             yield from _emit(_groups(batches, 1), make, _RESOLVED)
 
         return _streamed(matrices, ["conv_id"], ["chunk"], top, _RESOLVED)
@@ -199,7 +201,7 @@ def _resolve(matrices: DataFrame) -> DataFrame:
     joined = upper.join(above, upper.conv_id.eqNullSafe(above.c) & (upper["up"] == above["up"])).select("conv_id", upper["up"], "chunk", "m", "start", "end", "last")
 
     def hand_down(batches):
-        make = lambda key, rows: [(key[0], *x) for x in down([(r[2], matrix(r[3])) for r in rows], np.asarray(rows[0][4], np.int64), rows[0][5], rows[0][6])]
+        make = lambda key, rows: [(key[0], *x) for x in down([(r[2], matrix(r[3])) for r in rows], rows[0][4], rows[0][5], rows[0][6])]
         yield from _emit(_groups(batches, 2), make, _RESOLVED)
 
     return _streamed(joined, ["conv_id", "up"], ["chunk"], hand_down, _RESOLVED)
@@ -216,7 +218,7 @@ def repair(turns: DataFrame) -> DataFrame:
     (null last), role and text, so ties and repeated rows have a defined order; null text is empty; the
     null conv_id is one conversation. A conversation of any length is cut into chunks of CHUNK turn
     numbers: each chunk's costs are a matrix, the matrices are combined in order, and each chunk then
-    finds its own part of the cheapest way, the same that one pass over the whole would find.
+    finds its own part of a cheapest way, between the states that the combination has set.
     """
     late = F.lit(1 << 52)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.floor(F.col("turn") / CHUNK), late).cast("bigint").alias("chunk"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
@@ -235,7 +237,7 @@ def repair(turns: DataFrame) -> DataFrame:
     def finish(batches):
         def make(key, rows):
             roles = [role_index(r[3]) for r in rows]
-            costs = forward(np.asarray(rows[0][6], np.int64), roles)
+            costs = forward(np.where(np.arange(5) == rows[0][6], 0, INF), roles)
             states = backward(costs, roles, rows[0][7])
             pieces = render(roles, [r[4] or "" for r in rows], states, rows[0][8])
             return [(*key, i, r[5], r[3], *p) for i, (r, p) in enumerate(zip(rows, pieces))]

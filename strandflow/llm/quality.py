@@ -37,9 +37,9 @@ class Rule:
 
 #: The method's verdict. A row with no word meets no ratio and is rejected.
 RULES = (
-    Rule("word length", "word_chars / n_words", 1.5, 15.0),
-    Rule("symbols per word", "n_symbols / n_words", None, 0.3),
-    Rule("stop words", "n_stop / n_words", 0.01, None),
+    Rule("word length", "try_divide(word_chars, n_words)", 1.5, 15.0),
+    Rule("symbols per word", "try_divide(n_symbols, n_words)", None, 0.3),
+    Rule("stop words", "try_divide(n_stop, n_words)", 0.01, None),
     Rule("repeated lines", "n_dup_lines / greatest(n_lines, 1)", None, 0.5),
 )
 
