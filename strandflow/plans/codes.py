@@ -94,10 +94,10 @@ def _(spark, d):
     return files.fetch(s, ["s5", "s4", "s3"]).select("place", "name", F.length("seq").alias("length"))
 
 
-@query("marked_blocks", "select l_orderkey as grp, l_linenumber, sum((l_quantity > 40)::int) over (partition by l_orderkey order by l_linenumber rows unbounded preceding)::bigint as block from lineitem")
+@query("marked_blocks", "select l_orderkey as grp, l_linenumber, sum((l_quantity > 40)::int) over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice rows unbounded preceding)::bigint as block from lineitem")
 def _(spark, d):
-    rows = frame(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), "l_linenumber", "l_quantity")
-    return codes.blocks(rows, "l_linenumber", F.col("l_quantity") > 40).select("grp", "l_linenumber", "block")
+    rows = frame(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), "l_linenumber", "l_quantity", F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("place"))
+    return codes.blocks(rows, "place", F.col("l_quantity") > 40).select("grp", "l_linenumber", "block")
 
 
 def _kept(column, sql_name):
