@@ -155,3 +155,28 @@ def flush_left(aln: Column | str, rf: str) -> Column:
         out.append(piece)
         at = end
     return F.concat(*out) if out else text
+
+
+def checksum(rows: DataFrame, abc: Alphabet) -> DataFrame:
+    """(msa_id, checksum) of the codes of all rows in order of idx."""
+    from ..functions.sequence import checksum as of
+
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "aln"))), lambda x: x["aln"]), "")
+    return rows.groupBy("msa_id").agg(text.alias("t")).select("msa_id", of(abc.digitize("t")).alias("checksum"))
+
+
+def valid(rows: DataFrame, abc: Alphabet, markup: DataFrame | None = None) -> DataFrame:
+    """(msa_id, is_valid): rows of one length and of the alphabet's symbols, named apart, and column markup
+    (msa_id, kind, text) of kind gc of that length."""
+    n = F.length("aln")
+    own = rows.groupBy("msa_id").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.min(abc.valid("aln")).alias("ok"), (F.count("name") == F.count_distinct("name")).alias("names"))
+    own = own.select("msa_id", "hi", (F.col("ok") & F.col("names") & (F.col("lo") == F.col("hi")) & (F.col("lo") > 0)).alias("v"))
+    if markup is None:
+        return own.select("msa_id", F.col("v").alias("is_valid"))
+    marks = markup.where("kind = 'gc'").groupBy("msa_id").agg(F.min(F.length("text")).alias("a"), F.max(F.length("text")).alias("b"))
+    fits = F.coalesce((F.col("a") == F.col("hi")) & (F.col("b") == F.col("hi")), F.lit(True))
+    return own.join(marks, "msa_id", "left").select("msa_id", (F.col("v") & fits).alias("is_valid"))
+
+
+def default_weights(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("weight", F.lit(1.0))

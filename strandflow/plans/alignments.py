@@ -206,3 +206,14 @@ def _(spark, d):
 @query("tree_weights")
 def _(spark, d):
     return clusters.tree_weights(frame(spark, d, "small_msa"), DNA)
+
+
+@query("msa_checksum", over_cells("small_msa", """select msa_id, ((h3 + (h3 << 15)) & 4294967295)::bigint as checksum from (select msa_id, xor(h2, h2 >> 11) as h3 from (select msa_id, (h + (h << 3)) & 4294967295 as h2 from (
+    select msa_id, list_reduce(list_prepend(0::bigint, list((instr('ACGT-RYMKSWHBVDN*~', x) - 1)::bigint order by idx, col)), lambda h, c: xor((((h + c) & 4294967295) + (((h + c) & 4294967295) << 10)) & 4294967295, ((((h + c) & 4294967295) + (((h + c) & 4294967295) << 10)) & 4294967295) >> 6)) as h from cell group by msa_id)))"""))
+def _(spark, d):
+    return alignment.checksum(frame(spark, d, "small_msa"), DNA)
+
+
+@query("msa_valid", oracle("msa", sql="select msa_id, true as is_valid from msa group by msa_id"))
+def _(spark, d):
+    return alignment.valid(frame(spark, d, "msa"), DNA)
