@@ -49,8 +49,12 @@ def both_and_same(a: str, b: str, length: int) -> tuple[Column, Column]:
 
 
 def pairs(rows: DataFrame, abc: Alphabet, length: int) -> DataFrame:
-    """(msa_id, i, j, n_both, n_same, n_i, n_j) of every two rows i < j of each alignment."""
-    p = prepared(rows, abc, length)
+    """(msa_id, i, j, n_both, n_same, n_i, n_j) of every two rows i < j of each alignment.
+
+    Both sides read one exchange on the alignment: the planes are made once, before it, and the pairs
+    of small tables still spread over as many tasks as the session's shuffles have."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = prepared(rows, abc, length).repartition(n, "msa_id")
     a = p.select("msa_id", F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
     b = p.select("msa_id", F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
     both, same = both_and_same("pi", "pj", length)
@@ -62,6 +66,8 @@ def blocked_pairs(rows: DataFrame, abc: Alphabet, length: int, blocks: int) -> D
     so that one large alignment spreads over blocks * (blocks + 1) / 2 keys."""
     p = prepared(rows, abc, length).withColumn("k", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
     every = F.array(*map(F.lit, range(blocks)))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = p.repartition(n, "msa_id", "k")
     a = p.select("msa_id", F.col("k").alias("ka"), F.explode(every).alias("kb"), F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
     b = p.select("msa_id", F.explode(every).alias("ka"), F.col("k").alias("kb"), F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
     both, same = both_and_same("pi", "pj", length)
