@@ -7,8 +7,8 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import SCHEMA, corpus
 from pyspark.sql import functions as F
+from tables import SCHEMA, corpus
 
 from strandflow.llm import chat, components, langid, linededup, mixing, neardup, packing, quality, secrets, substring, topk
 
