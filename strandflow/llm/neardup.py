@@ -21,6 +21,7 @@ BANDS, ROWS = 40, 4
 #: Members that one copy of a hub's text serves.
 SERVED = 64
 
+_BAND = np.uint64(63)
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _K, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -73,35 +74,125 @@ def super_minhash(elements: np.ndarray, m: int) -> np.ndarray:
     return best
 
 
-def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    s = signature.reshape(bands, -1).astype(np.uint64)
-    key = np.arange(1, bands + 1, dtype=np.uint64)
-    for j in range(s.shape[1]):
-        key = mix(key * _K + s[:, j])
-    return key.view(np.int64)
+def ranks16(signature: np.ndarray) -> np.ndarray:
+    """16 bits of each rank: what is kept of a signature. Unequal ranks agree once in 65,536."""
+    return (mix(signature.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
 
 
-_SKETCH = "doc_id long, version long, n_shingles long, s1 long, s2 long, bands array<long>"
+def band_keys(ranks: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """n x bands keys of n x m ranks; the low 6 bits are the band's number."""
+    s = ranks.reshape(len(ranks), bands, -1).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), s.shape[:2])
+    for j in range(s.shape[2]):
+        key = mix(key * _K + s[:, :, j])
+    return (key & ~_BAND | np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: size and 128-bit key of its shingle set, and its band keys (null if the set is empty)."""
+#: What a bucket with more than CROWD classes is split by: FINE keys of FINE_ROWS ranks each, drawn once.
+CROWD, FINE, FINE_ROWS = 4096, 70, 6
+_FINE = np.stack([np.random.default_rng([5, i]).choice(BANDS * ROWS, FINE_ROWS, replace=False) for i in range(FINE)])
+#: Share of equal ranks under which a pair is not verified: 5 deviations under PERCENT at 160 ranks.
+LEAST_SHARE = 0.58
+
+_SKETCH = "doc_id long, version long, n_shingles long, s1 long, s2 long, ranks binary"
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """Per row: size and 128-bit key of its shingle set, and its ranks (null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, s1, s2, keys = [], [], [], []
+            size, s1, s2, ranks = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t)
                 size.append(len(s))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 s1.append(int(digest[0]))
                 s2.append(int(digest[1]))
-                keys.append(band_keys(super_minhash(s, bands * rows), bands) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "version", "n_shingles", "s1", "s2", "bands"])
+                ranks.append(ranks16(super_minhash(s, BANDS * ROWS)).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ranks, pa.binary())], names=["doc_id", "version", "n_shingles", "s1", "s2", "ranks"])
 
     return docs.select("doc_id", _version(), "text").mapInArrow(run, _SKETCH)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def _keyed(rows: DataFrame, keys, count: int, extra: str = "") -> DataFrame:
+    """(b, rep[, c]): ``count`` keys of each row of (rep, ranks[, b, c])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = keys(_matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False) if extra else None)
+            out = [pa.array(k.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), count))]
+            if extra:
+                out.append(pa.array(np.repeat(b.column(3).to_numpy(zero_copy_only=False), count)))
+            yield pa.RecordBatch.from_arrays(out, names=["b", "rep", "c"][: len(out)])
+
+    return rows.mapInArrow(run, "b long, rep long" + extra)
+
+
+def _fine_keys(ranks: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    key = bucket.view(np.uint64)[:, None] + np.arange(1, FINE + 1, dtype=np.uint64)[None] * _K
+    for j in range(FINE_ROWS):
+        key = mix(key * _K + ranks[:, _FINE[:, j]].astype(np.uint64))
+    return (key | _BAND).view(np.int64)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The (b, n) of the buckets of (b, rep, c) that hold over two classes, of different components."""
+    return members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("b", "n")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams (b, rep, c, ranks, text) by bucket: the links between its components. A pair is looked at in
+    the first band that it shares, if enough of its ranks are equal, and then decided on full sets. What
+    comes out is links, never candidates."""
+    bucket, held = None, []
+
+    def flush():
+        if len(held) < 2:
+            return
+        r, c = (np.array([h[i] for h in held]) for i in (0, 1))
+        m = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(len(held), -1)
+        sets: dict[int, np.ndarray] = {}
+        least, u, v = LEAST_SHARE * m.shape[1], [], []
+
+        def full(i):
+            if i not in sets:
+                sets[i] = shingles(held[i][3])
+            return sets[i]
+
+        for i in range(len(r) - 1):
+            other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
+            same = m[other] == m[i]
+            near = same.sum(1) >= least
+            if (bucket & 63) < BANDS:
+                near &= same.reshape(len(same), BANDS, ROWS).all(2).argmax(1) == (bucket & 63)
+            for j in other[near].tolist():
+                if linked(full(i), full(j)):
+                    u.append(max(r[i], r[j]))
+                    v.append(min(r[i], r[j]))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        for key, *row in zip(*(col.to_pylist() for col in b.columns)):
+            if key != bucket:
+                yield from flush()
+                bucket, held = key, []
+            held.append(row)
+    yield from flush()
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _version():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("version")
 
@@ -129,12 +220,9 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
                     held = (held if at == hub else []) + [s]
                     at = hub
                 elif at == hub:
-                    for h in held:
-                        both = len(np.intersect1d(s, h, assume_unique=True))
-                        if 100 * both >= percent * (len(s) + len(h) - both):
-                            u.append(doc_id)
-                            v.append(hub)
-                            break
+                    if any(linked(s, h, percent) for h in held):
+                        u.append(doc_id)
+                        v.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return routed.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(run, "u long, v long")
@@ -147,21 +235,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     compared, so a group of copies costs what one document does. In a band's bucket every class is a
     candidate of the smallest, the hub. A class is verified first against the hub it meets most often,
     then against its other hubs that are not yet in its component, and at last every two classes that
-    still share a bucket from different components and were never compared. So a link is missed only if
-    the pair shares no band. Empty texts are linked with nothing; rows without a doc_id are kept and
+    still share a bucket from different components and have LEAST_SHARE of their ranks in common. Crowded buckets, as a passage in many documents makes them, are split by longer keys
+    first. So a link is missed only if chance keeps the pair's ranks apart. Empty texts are linked with nothing; rows without a doc_id are kept and
     have no component; rows that share a doc_id count as one node.
     """
     sketch = materialize(sketches(docs), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = sketch.select("doc_id", "version", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    reps = materialize(full.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "bands"), "reps")
-    band = reps.select("rep", F.explode("bands").alias("b"))
+    reps = materialize(full.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "ranks").distinct(), "reps")
+    band = _keyed(reps, lambda ranks, _: band_keys(ranks), BANDS)
     hubs = band.groupBy("b").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("b", "hub")
-    votes = band.join(hubs, "b").where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("votes"))
-    votes = materialize(votes, "votes")
+    shared = materialize(band.join(hubs.hint("merge"), "b"), "shared")
+    votes = materialize(shared.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("votes")), "votes")
     involved = votes.select(F.col("rep").alias("doc_id")).unionByName(votes.select(F.col("hub").alias("doc_id"))).distinct()
-    texts = materialize(docs.where("doc_id is not null").select("doc_id", "text").join(involved, "doc_id", "left_semi"), "texts")
+    texts = materialize(docs.where("doc_id is not null").select("doc_id", "text").join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
 
     first = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("hub")).alias("h"))).alias("best")).select(F.col("rep").alias("u"), (-F.col("best.h")).alias("v"))
     edges = materialize(verified(texts, first), "links")
@@ -181,12 +269,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         group = components(edges)
 
     label = group.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-    seen = band.join(hubs.select("b"), "b").join(label, "rep", "left").select("b", "rep", F.coalesce("c", "rep").alias("c"))
-    mixed = seen.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("b")
-    left = materialize(seen.join(mixed, "b", "left_semi"), "mixed")
-    right = left.select("b", F.col("rep").alias("v"), F.col("c").alias("cv"))
-    pairs = left.join(right, "b").where("rep > v and c <> cv").select(F.col("rep").alias("u"), "v").distinct()
-    rest = materialize(verified(texts, pairs.join(tried, ["u", "v"], "left_anti")), "links")
+    seen = shared.select("b", "rep").join(label, "rep", "left").select("b", "rep", F.coalesce("c", "rep").alias("c"))
+    left = materialize(seen.join(_mixed(seen), "b"), "mixed")
+    crowded = left.where(F.col("n") > CROWD).select("rep", "b", "c").join(reps, "rep").select("rep", "ranks", "b", "c")
+    fine = _keyed(crowded, _fine_keys, FINE, ", c long")
+    fine = materialize(fine.join(_mixed(fine).select("b"), "b", "left_semi"), "fine")
+    buckets = left.where(F.col("n") <= CROWD).select("b", "rep", "c").unionByName(fine)
+    bodies = texts.select(F.col("doc_id").alias("rep"), "text")
+    loaded = buckets.join(reps, "rep").join(bodies, "rep").select("b", "rep", "c", "ranks", "text")
+    rest = materialize(loaded.repartition(parts(docs.sparkSession), "b").sortWithinPartitions("b", "rep").mapInArrow(_alike, "u long, v long").distinct(), "links")
     if rest.limit(1).count():
         group = components(edges.unionByName(rest))
 
