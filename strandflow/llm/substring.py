@@ -145,8 +145,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams passages by anchor, content and document. kind 0: removed whole, as a smaller document has
-    the same passage. kind 1: the first document of a content whose anchor has other contents too."""
-    pending, prev = None, None  # the last content's first row if still alone in its anchor; its key and document
+    the same passage. kind 1: every place of a content in its first document, where its anchor has other
+    contents too."""
+    # The last row's anchor, content and owner; whether that anchor has two contents so far; if not, its open rows.
+    prev, contested, pending = None, False, []
 
     def rows(kind, anchor, doc, place):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind), pa.int8()), pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64())], names=["kind", "anchor", "doc_id", "place"])
@@ -161,23 +163,28 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, content, doc, place = anchor[~done], content[~done], doc[~done], place[~done]
             if not len(doc):
                 continue
-        new = np.append(prev is None or (anchor[0], content[0]) != prev[:2], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))
+        other = np.append(prev is None or anchor[0] != prev[0], anchor[1:] != anchor[:-1])
+        new = other | np.append(prev is None or content[0] != prev[1], content[1:] != content[:-1])
         at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
         owner = np.where(at >= 0, doc[at], prev[2] if prev else 0)
-        gone = doc > owner
-        if gone.any():
-            yield rows(0, anchor[gone], doc[gone], place[gone])
-        heads = np.flatnonzero(new)
-        if len(heads):
-            same = np.append(prev is not None and anchor[heads[0]] == prev[0], anchor[heads[1:]] == anchor[heads[:-1]])
-            if pending is not None and same[0]:
-                yield rows(1, *([x] for x in pending))
-            shared = same | np.append(same[1:], False)
-            if shared.any():
-                out = heads[shared]
-                yield rows(1, anchor[out], doc[out], place[out])
-            last = heads[-1]
-            pending = None if shared[-1] else (anchor[last], doc[last], place[last])
+        own = doc == owner
+        if not own.all():
+            yield rows(0, anchor[~own], doc[~own], place[~own])
+        group = np.cumsum(other)  # 0: the anchor that the last batch ended in
+        several = np.bincount(group, weights=new & ~other, minlength=1) > 0
+        several[0] |= contested
+        if pending and several[0] and not other[0]:
+            for p in pending:
+                yield rows(1, *p)
+        out = own & several[group]
+        if out.any():
+            yield rows(1, anchor[out], doc[out], place[out])
+        contested = bool(several[group[-1]])
+        if group[-1] or contested:
+            pending = []
+        if not contested:
+            last = own & (group == group[-1])
+            pending.append((anchor[last], doc[last], place[last]))
         prev = (anchor[-1], content[-1], owner[-1])
 
 
@@ -186,7 +193,7 @@ def _extract(docs: DataFrame, contested: DataFrame) -> DataFrame:
     an anchor and no words."""
     heavy = contested.groupBy("anchor").agg((F.count(F.lit(1)) > SHARD).alias("heavy")).where("heavy")
     marked = contested.join(heavy, "anchor", "left").select("anchor", "doc_id", "place", F.coalesce("heavy", F.lit(False)).alias("heavy"))
-    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "heavy")).alias("found"))
+    lists = marked.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "place", "heavy")).alias("found"))
     both = _texts(docs).join(lists, "doc_id").select("doc_id", "version", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,22 +220,21 @@ def _extract(docs: DataFrame, contested: DataFrame) -> DataFrame:
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams a shard's passages by document: each is held against the automaton of all smaller
     documents' passages, then joins it. Windows whose match reaches SPAN words go."""
-    shard, doc, automaton, waiting = None, None, None, []
+    shard, doc, automaton, waiting = None, None, None, {}  # waiting: the document's passages and where they match
     for b in batches:
         found = []
         for anchor, doc_id, place, text in zip(*(c.to_pylist() for c in b.columns)):
             if anchor != shard:
-                shard, doc, automaton, waiting = anchor, doc_id, None, []
+                shard, doc, automaton, waiting = anchor, doc_id, None, {}
             elif doc_id != doc:
                 automaton = automaton or SuffixAutomaton()
                 for w in waiting:
-                    automaton.add(w)
-                doc, waiting = doc_id, []
-            words = text.split(b" ")
-            if automaton:
-                base = place - (place & 15)
-                found += [(doc_id, base + ((i - SPAN + 1) << 4) + 1) for i, n in enumerate(automaton.matches(words)) if n >= SPAN]
-            waiting.append(words)
+                    automaton.add(w.split(b" "))
+                doc, waiting = doc_id, {}
+            if text not in waiting:
+                waiting[text] = [i - SPAN + 1 for i, n in enumerate(automaton.matches(text.split(b" "))) if n >= SPAN] if automaton else []
+            base = place - (place & 15)
+            found += [(doc_id, base + (i << 4) + 1) for i in waiting[text]]
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["doc_id", "place"])
 
 
@@ -241,7 +247,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
     Every window has an anchor that depends on its words alone, so equal windows of two documents lie
     in passages of one anchor. Passages with equal content are settled by the smallest document; where
-    an anchor has several contents, the first document of each goes to the anchor's shard, whose
+    an anchor has several contents, every place of each in its first document goes to the anchor's shard, whose
     automaton is built of the passages of ever larger documents. The corpus is its own reference and has
     no size bound, so shards travel by an exchange on the anchor and not by a broadcast.
     """

@@ -69,6 +69,24 @@ def test_substring_dedup(docs):
     assert pulled(substring.op4(df), "doc_id", "n_words", "n_removed", "kept_sha256") == expect(brute.substring_dedup([r[:2] for r in rows]))
 
 
+@pytest.mark.parametrize("shard,batch", [(2000, 10_000), (2, 10_000), (2000, 3)])
+def test_substring_dedup_repeats_within_a_document(spark, monkeypatch, shard, batch):
+    """A section several times in a document, and part of it in other surroundings in a smaller one."""
+    monkeypatch.setattr(substring, "SHARD", shard)
+    section, rows = [f"s{i}" for i in range(50)], []
+    for d in range(12):
+        own = [[f"d{d}x{k}y{i}" for i in range(20)] for k in range(5)]
+        w = own[0] + section[15:35] + own[1] if d % 4 == 0 else sum((own[k] + section for k in range(4)), []) + own[4]
+        rows.append((d, " ".join(w), None, None, 1))
+    rows += [(2, "another text of two " + " ".join(section[5:] + section), None, None, 1)] * 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = pulled(substring.op4(spark.createDataFrame(rows, SCHEMA).repartition(3)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expect(brute.substring_dedup([r[:2] for r in rows]))
+
+
 def test_substring_dedup_crowded_anchor(spark, monkeypatch):
     monkeypatch.setattr(substring, "SHARD", 5)
     rows = [(i, f"a{i} b{i} " + " ".join("p%d" % k for k in range(15)) + f" c{i} d{i}", None, None, 1) for i in range(60)]
