@@ -142,9 +142,9 @@ def _fine_keys(ranks: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (key | _BAND).view(np.int64)
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """The (b, n) of the buckets of (b, rep, c) that hold over two classes, of different components."""
-    return members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("b", "n")
+def _mixed(members: DataFrame, least: int = 2) -> DataFrame:
+    """The (b, n) of the buckets of (b, rep, c) that hold ``least`` classes, of different components."""
+    return members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo < hi and n >= {least}").select("b", "n")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     label = group.select(F.col("node").alias("rep"), F.col("component").alias("c"))
     seen = shared.select("b", "rep").join(label, "rep", "left").select("b", "rep", F.coalesce("c", "rep").alias("c"))
-    left = materialize(seen.join(_mixed(seen), "b"), "mixed")
+    left = materialize(seen.join(_mixed(seen, 3), "b"), "mixed")  # of two classes one is the hub, and the pair was verified
     crowded = left.where(F.col("n") > CROWD).select("rep", "b", "c").join(reps, "rep").select("rep", "ranks", "b", "c")
     fine = _keyed(crowded, _fine_keys, FINE, ", c long")
     fine = materialize(fine.join(_mixed(fine).select("b"), "b", "left_semi"), "fine")

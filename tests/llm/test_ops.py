@@ -126,6 +126,37 @@ def test_near_dedup_families(spark, monkeypatch):
     assert got == expect(brute.near_dedup([r[:2] for r in rows]))
 
 
+def a_pair_among_others(copies):
+    """Two linked texts with the largest doc_ids, and for the k-th band that they share ``copies(k)`` smaller
+    ones that share that band with both and are linked with nothing."""
+    rng = np.random.default_rng(6)
+    junk = lambda n: [f"j{x}" for x in rng.integers(1 << 40, size=n)]
+    keys = lambda t: neardup.band_keys(neardup.ranks16(neardup.super_minhash(neardup.shingles(t), 160))[None])[0]
+    u = [f"w{i}" for i in range(120)]
+    pair = [" ".join(u), " ".join(u[:60] + ["x"] + u[61:])]
+    grams = [u[i : i + 5] for i in range(116)]
+    ranks = np.array([neardup.super_minhash(neardup.shingles(" ".join(g)), 160) for g in grams])
+    a, b = map(keys, pair)
+    bands, texts = np.flatnonzero(a == b), []
+    for k, band in enumerate(bands):
+        need = sorted(set(ranks[:, 4 * band : 4 * band + 4].argmin(0).tolist()))
+        found = []
+        while len(found) < copies(k):
+            t = " ".join(sum((junk(3) + grams[i] for i in need), []) + junk(3))
+            found += [t] * bool(keys(t)[band] == a[band])
+        texts += found
+    assert len(bands) > 5
+    return [(i, t, None, None, 1) for i, t in enumerate(texts + pair)]
+
+
+def test_near_dedup_pair_alone_in_its_fine_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWD", 3)
+    rows = a_pair_among_others(lambda k: 4)
+    want = expect(brute.near_dedup([r[:2] for r in rows]))
+    assert sum(not r[3] for r in want) == 1
+    assert pulled(neardup.op5(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 62, 1500).astype(np.uint64)
