@@ -148,9 +148,9 @@ def _mixed(members: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams (b, rep, c, ranks, text) by bucket: the links between its components. A pair is looked at in
-    the first band that it shares, if enough of its ranks are equal, and then decided on full sets. What
-    comes out is links, never candidates."""
+    """Streams (b, rep, c, ranks, text, crowds) by bucket: the links between its components. A pair is looked
+    at in the first band that it shares in no crowded bucket, in fine buckets only if it has none, if enough
+    of its ranks are equal, and then decided on full sets. What comes out is links, never candidates."""
     bucket, held = None, []
 
     def flush():
@@ -159,6 +159,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, c = (np.array([h[i] for h in held]) for i in (0, 1))
         m = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(len(held), -1)
         sets: dict[int, np.ndarray] = {}
+        open_ = (np.array([h[4] for h in held], np.int64)[:, None] >> np.arange(BANDS) & 1) == 0
         least, u, v = LEAST_SHARE * m.shape[1], [], []
 
         def full(i):
@@ -170,8 +171,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
             same = m[other] == m[i]
             near = same.sum(1) >= least
-            if (bucket & 63) < BANDS:
-                near &= same.reshape(len(same), BANDS, ROWS).all(2).argmax(1) == (bucket & 63)
+            shared = same.reshape(len(same), BANDS, ROWS).all(2) & open_[i]
+            near &= shared.argmax(1) == (bucket & 63) if (bucket & 63) < BANDS else ~shared.any(1)
             for j in other[near].tolist():
                 if linked(full(i), full(j)):
                     u.append(max(r[i], r[j]))
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidate of the smallest, the hub. A class is verified first against the hub it meets most often,
     then against its other hubs that are not yet in its component, and at last every two classes that
     still share a bucket from different components and have LEAST_SHARE of their ranks in common. Crowded buckets, as a passage in many documents makes them, are split by longer keys
-    first. So a link is missed only if chance keeps the pair's ranks apart. Empty texts are linked with nothing; rows without a doc_id are kept and
+    first; those decide the pairs that share crowded buckets only. So a link is missed only if chance keeps the pair's ranks apart. Empty texts are linked with nothing; rows without a doc_id are kept and
     have no component; rows that share a doc_id count as one node.
     """
     sketch = materialize(sketches(docs), "sketch")
@@ -276,7 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fine = materialize(fine.join(_mixed(fine).select("b"), "b", "left_semi"), "fine")
     buckets = left.where(F.col("n") <= CROWD).select("b", "rep", "c").unionByName(fine)
     bodies = texts.select(F.col("doc_id").alias("rep"), "text")
-    loaded = buckets.join(reps, "rep").join(bodies, "rep").select("b", "rep", "c", "ranks", "text")
+    crowds = left.where(F.col("n") > CROWD).groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("crowds"))  # the bands in which it is in a crowded bucket
+    loaded = buckets.join(reps, "rep").join(bodies, "rep").join(crowds, "rep", "left").select("b", "rep", "c", "ranks", "text", F.coalesce("crowds", F.lit(0)).alias("crowds"))
     rest = materialize(loaded.repartition(parts(docs.sparkSession), "b").sortWithinPartitions("b", "rep").mapInArrow(_alike, "u long, v long").distinct(), "links")
     if rest.limit(1).count():
         group = components(edges.unionByName(rest))

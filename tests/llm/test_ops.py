@@ -157,6 +157,16 @@ def test_near_dedup_pair_alone_in_its_fine_buckets(spark, monkeypatch):
     assert pulled(neardup.op5(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def test_near_dedup_first_band_crowded(spark, monkeypatch):
+    """A pair that shares no fine key is found in a band of few classes, though it meets first in a crowded one."""
+    monkeypatch.setattr(neardup, "CROWD", 3)
+    monkeypatch.setattr(neardup, "_fine_keys", lambda ranks, bucket: np.random.default_rng(int(bucket[0]) & 0xFFFFFFFF).integers(1 << 62, size=(len(ranks), 70)) | 63)
+    rows = a_pair_among_others(lambda k: 1 if k else 4)
+    want = expect(brute.near_dedup([r[:2] for r in rows]))
+    assert sum(not r[3] for r in want) == 1
+    assert pulled(neardup.op5(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 62, 1500).astype(np.uint64)
