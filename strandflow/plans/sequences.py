@@ -84,8 +84,7 @@ def _(spark, d):
     select doc_id, case when n <= 10 then null when only_aa > 0 then 'amino' end as kind from c where n <= 10 or only_aa > 0""")
 def _(spark, d):
     docs = frame(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    letters = F.length(F.regexp_replace(F.upper("t"), "[^A-Z]", ""))
-    return docs.where((letters <= 10) | (F.length(F.regexp_replace(F.upper("t"), "[^EFIJLOPQZ]", "")) > 0)).select("doc_id", guess_type("t").alias("kind"))
+    return docs.select("doc_id", guess_type("t").alias("kind"))
 
 
 @query("guess_sequences", oracle("seqs", sql="select id, case when length(regexp_replace(seq, '[^A]', '', 'g')) > 0 and length(regexp_replace(seq, '[^C]', '', 'g')) > 0 and length(regexp_replace(seq, '[^G]', '', 'g')) > 0 and length(regexp_replace(seq, '[^T]', '', 'g')) > 0 then 'dna' end as kind from seqs"))

@@ -14,6 +14,33 @@ def test_query(spark, name):
         same(got, duck(registry.SQL[name]))
 
 
+def guessed(text):
+    t = (text or "").upper()
+    count = lambda letters: sum(c in letters for c in t)
+    n, acg, both = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("ACG"), count("DHKMRSVWY")
+    few = n * 2 // 100
+    if n <= 10:
+        return None
+    if n > 2000 and count("N") == n:
+        return "dna"
+    if count("EFIJLOPQZ"):
+        return "amino"
+    for kind, x in (("dna", "T"), ("rna", "U")):
+        if n - acg - count(x + "N") <= few and set("ACG" + x) <= set(t):
+            return kind
+    if n - acg - both - count("NTX") <= few and both > acg and len(set(t) & set("ACGDHKMRSVWYNT")) >= 15:
+        return "amino"
+    return None
+
+
+def test_guess_alphabet_of_all_documents(spark, tmp_path):
+    texts = ["ACGT" * 5, "acgu" * 5, "ACGT" * 30 + "HH", "ACGT" * 30 + "HHHH", "ACGA" * 5, "N" * 30, "N" * 2001, "ACGTNNNNACGT ACGT", "ACGDHKMRSVWYNT" * 3, "DHKMRSVWY" * 3, "MKVLAAGIEF", "MKVLAAGIEFL", "ACGT", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.kind for r in registry.QUERIES["guess_alphabet"](spark, str(tmp_path)).collect()}
+    assert got == {i: guessed(t) for i, t in enumerate(texts)}
+    assert {got[0], got[1], got[4], got[11]} == {"dna", "rna", None, "amino"}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
