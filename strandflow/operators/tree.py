@@ -215,13 +215,21 @@ def grouped_trees(d: DataFrame, method: str = "average") -> DataFrame:
     return d.select("msa_id", "i", "j", "d").groupBy("msa_id").applyInPandas(run, NODE)
 
 
-def leaf_depths(nodes: DataFrame, steps: int) -> DataFrame:
-    """(tree_id, name, depth): length from the root to each leaf, by ``steps`` doublings of the parent links
-    (enough for 2 ** steps levels), each a join on (tree_id, node)."""
-    up = nodes.select("tree_id", "node", "name", F.col("parent").alias("at"), F.col("branch_length").alias("depth")).persist()
-    for _ in range(steps):
+def leaf_depths(nodes: DataFrame) -> DataFrame:
+    """(tree_id, name, depth): length from the root to each leaf, by doublings of the parent links until no
+    node has an ancestor left, each a join on (tree_id, node). Tables are cut by checkpoint() where a
+    folder is set."""
+    cut = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    up = nodes.select("tree_id", "node", "name", F.col("parent").alias("at"), F.col("branch_length").alias("depth"))
+    up = up.checkpoint() if cut else up.persist()
+    for _ in range(64):
+        if up.where("at >= 0").isEmpty():
+            break
         above = up.select("tree_id", F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        up = up.join(above, ["tree_id", "at"], "left").select("tree_id", "node", "name", F.coalesce("next", F.lit(-1)).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth")).persist()
+        up = up.join(above, ["tree_id", "at"], "left").select("tree_id", "node", "name", F.coalesce("next", F.lit(-1)).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth"))
+        up = up.checkpoint() if cut else up.persist()
+    else:
+        raise ValueError("parent links form a cycle")
     return up.where("name is not null").select("tree_id", "name", "depth")
 
 

@@ -134,7 +134,7 @@ def _(spark, d):
 
 @query("tree_leaf_depths")
 def _(spark, d):
-    return tree.leaf_depths(_trees(spark, d, "average"), 6)
+    return tree.leaf_depths(_trees(spark, d, "average"))
 
 
 @query("tree_leaves", oracle("small_msa", sql="select msa_id as tree_id, count(*) as leaves from small_msa group by msa_id having count(*) > 1"))

@@ -3,7 +3,8 @@
 import pytest
 from oracle import SF, duck, same
 
-from strandflow.plans import registry
+from strandflow.operators.tree import NODE
+from strandflow.plans import registry, structures
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -41,6 +42,15 @@ def test_guess_alphabet_of_all_documents(spark, tmp_path):
     assert {got[0], got[1], got[4], got[11]} == {"dna", "rna", None, "amino"}
 
 
+def test_tree_leaf_depths_of_a_ladder(spark, monkeypatch):
+    """300 levels, each with a leaf, beside a tree of one leaf."""
+    rows = [(1, k, k - 1, k + 1, 1000 + k, float(k > 0), 1, None) for k in range(300)]
+    rows += [(1, 1000 + k, k, -1, -1, 0.5, 1, f"l{k}") for k in range(300)] + [(2, 0, -1, -1, -1, 0.0, 1, "one")]
+    monkeypatch.setattr(structures, "_trees", lambda *_: spark.createDataFrame(rows, NODE))
+    got = {(r.tree_id, r.name): r.depth for r in registry.QUERIES["tree_leaf_depths"](spark, SF).collect()}
+    assert got == {(1, f"l{k}"): k + 0.5 for k in range(300)} | {(2, "one"): 0.0}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
