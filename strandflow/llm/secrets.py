@@ -49,7 +49,10 @@ class Ledger:
         spark.createDataFrame([], _LEDGER).write.mode("append").parquet(path)
 
     def read(self, rule_version: int = RULE_VERSION) -> DataFrame:
-        return self.spark.read.schema(_LEDGER).parquet(self.path).where(F.col("rule_version") == rule_version)
+        """(blob, findings) under ``rule_version``, a row for each blob: two writers that scanned one blob at
+        the same time have each appended it, with equal findings."""
+        rows = self.spark.read.schema(_LEDGER).parquet(self.path).where(F.col("rule_version") == rule_version)
+        return rows.groupBy("blob").agg(F.first("findings").alias("findings"))
 
     def append(self, scanned: DataFrame) -> None:
         scanned.write.mode("append").option("compression", "zstd").parquet(self.path)
@@ -61,13 +64,14 @@ def scan_history(versions: DataFrame, ledger: Ledger, path: str, content: str, r
     A version's blob is named by the SHA-256 of its content (null: empty). Of each blob that the ledger
     lacks under ``rule_version``, the version with the smallest path carries the content to the scan;
     copies and blobs already seen are not scanned. Findings are joined back to all paths, repeated and
-    null ones included.
+    null ones included. Empty tables give no rows and leave the ledger as it is. Texts are scanned whole,
+    one at a time; other columns of ``versions`` are not read.
     """
     body = F.coalesce(F.col(content), F.lit(""))
     named = versions.select(F.col(path).alias("_path"), F.sha2(body.cast("binary"), 256).alias("blob"))
     unseen = named.groupBy("blob").agg(F.min("_path").alias("owner")).join(ledger.read(rule_version), "blob", "left_anti").select(F.col("blob").alias("_blob"), "owner")
     held = versions.select(F.col(path).alias("_path"), body.alias("body"))
-    fresh = held.join(unseen.hint("shuffle_hash"), F.col("_path").eqNullSafe(F.col("owner"))).where(F.sha2(F.col("body").cast("binary"), 256) == F.col("_blob"))
+    fresh = held.join(unseen, F.col("_path").eqNullSafe(F.col("owner"))).where(F.sha2(F.col("body").cast("binary"), 256) == F.col("_blob"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -77,7 +81,7 @@ def scan_history(versions: DataFrame, ledger: Ledger, path: str, content: str, r
 
     scanned = fresh.select(F.col("_blob").alias("blob"), "body").mapInArrow(scan, _LEDGER)
     ledger.append(scanned.dropDuplicates(["blob"]))
-    return named.join(ledger.read(rule_version).select("blob", "findings"), "blob", "left")
+    return named.join(ledger.read(rule_version), "blob", "left")
 
 
 def op8(docs: DataFrame) -> DataFrame:
