@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the candidates answers: the size of what is broadcast is bounded by it.
-QUERY_BLOCK = 8192
+from .shared import materialize
+
+#: Bytes of the queries that one pass over the candidates answers: the bound on what is broadcast.
+QUERY_BYTES = 16 << 20
 CANDIDATE_BLOCK = 8192
 DIMENSION_BLOCK = 16
 #: Candidates that set the first lower bounds; any set gives a valid bound.
@@ -20,6 +23,8 @@ PILOT = 4096
 def _vectors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """ids and vectors of a batch of (id, fixed dimension list), rows of equal dimension."""
     flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) and float(np.abs(flat).max()) ** 2 * (len(flat) / b.num_rows) >= 2.0**53:
+        raise ValueError("components beyond the exact range: dimension times the largest square must be under 2**53")
     return b.column(0).to_numpy(zero_copy_only=False), flat.reshape(b.num_rows, -1) if b.num_rows else flat.reshape(0, 0)
 
 
@@ -78,45 +83,67 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k largest integer inner products.
 
     ``candidates`` and ``queries``: (id, v, dim). Only vectors of a query's dimension are compared; a
-    query is no candidate of its own id. Queries are taken in blocks of QUERY_BLOCK, each broadcast to
-    one pass over all candidates, so what is broadcast never grows with the table. Repeated rows of one
-    id count as so many candidates. Empty tables give no rows.
+    query is no candidate of its own id. A query is a distinct pair of id and vector: rows that repeat it
+    are answered once, two vectors of one id each for itself. Repeated rows of one id count as so many
+    candidates. Empty tables give no rows. Scores are exact; vectors for which they might not be, as
+    dimension times the largest squared component is 2**53 or more, are refused with an error.
+
+    Queries are taken in blocks of QUERY_BYTES. A block is broadcast to one pass over all candidates, its
+    answers are written to the shared folder and the broadcast is destroyed before the next one is made,
+    so what is broadcast never grows with the table.
     """
     spark = candidates.sparkSession
-    dims = [r.dim for r in queries.select("dim").distinct().collect()]  # a few numbers
-    found = None
-    for dim in sorted(dims):
-        near, asked = candidates.where(F.col("dim") == dim).select("id", "v"), queries.where(F.col("dim") == dim)
-        n = asked.count()
-        blocks = -(-n // QUERY_BLOCK)
+    found = []
+    asked = queries.dropDuplicates(["id", "v"])
+    for dim, n in sorted(asked.groupBy("dim").count().collect()):  # a few numbers
+        near, wanted = candidates.where(F.col("dim") == dim).select("id", "v"), asked.where(F.col("dim") == dim).select("id", "v")
+        started = _lower_bounds(near, wanted, dim, k)
+        blocks = -(-n * 8 * max(dim, 1) // QUERY_BYTES)
         for block in range(blocks):
-            rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").toArrow()
-            if not rows.num_rows:
-                continue
-            one = _block(spark, near, rows.combine_chunks().to_batches(), dim, k)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
+            rows = started.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block).toArrow().combine_chunks().to_batches()
+            if rows:
+                found.append(_block(near, rows[0], dim, k, len(found) << 40))
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    every = reduce(DataFrame.unionByName, found)
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
+def _cuts(dim: int) -> list[int]:
+    return list(range(0, dim, DIMENSION_BLOCK)) + [dim]
 
-def _block(spark, near: DataFrame, batches: list, dim: int, k: int) -> DataFrame:
-    ids, vectors = _vectors(batches[0])
-    cuts = list(range(0, dim, DIMENSION_BLOCK)) + [dim]
+
+def _lower_bounds(near: DataFrame, wanted: DataFrame, dim: int, k: int) -> DataFrame:
+    """(id, v, floor): each query with the score of its k-th best pilot candidate, written so that it is
+    worked out once, on the executors."""
     pilot = near.limit(PILOT).toArrow().combine_chunks().to_batches()
-    floors = np.full(len(ids), -np.inf)
-    if pilot:
-        block = Block(*_vectors(pilot[0]))
-        for i, (q, rest) in enumerate(zip(vectors, zip(*remaining(vectors, cuts)))):
-            if len(score := block.search(int(ids[i]), q, rest, k, -np.inf)[1]) >= k:
-                floors[i] = score.min()
-    sent = spark.sparkContext.broadcast((ids, vectors.astype(np.float64), floors))
+    sent = near.sparkSession.sparkContext.broadcast(_vectors(pilot[0]) if pilot else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(*sent.value) if sent.value else None
+        for b in batches:
+            ids, vectors = _vectors(b)
+            floors = np.full(len(ids), -np.inf)
+            for i, rest in enumerate(zip(*remaining(vectors, _cuts(dim)))):
+                if block and len(score := block.search(int(ids[i]), vectors[i], rest, k, -np.inf)[1]) >= k:
+                    floors[i] = score.min()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floors)], names=["id", "v", "floor"])
+
+    out = materialize(wanted.mapInArrow(run, "id long, v array<double>, floor double"), "queries")
+    sent.destroy()
+    return out
+
+
+def _block(near: DataFrame, asked: pa.RecordBatch, dim: int, k: int, base: int) -> DataFrame:
+    """(query, query_id, vec_id, score): for each query of a block, numbered from ``base``, what may be among
+    its k best, at most k of each CANDIDATE_BLOCK. Written, so that the broadcast can go."""
+    ids, vectors = _vectors(asked)
+    sent = near.sparkSession.sparkContext.broadcast((ids, vectors, asked.column(2).to_numpy(zero_copy_only=False)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, floors = sent.value
-        floors, rests = floors.copy(), list(zip(*remaining(vectors, cuts)))
+        floors, rests = floors.copy(), list(zip(*remaining(vectors, _cuts(dim))))
         held, size = [], 0
 
         def flush():
@@ -124,11 +151,11 @@ def _block(spark, near: DataFrame, batches: list, dim: int, k: int) -> DataFrame
             for i in range(len(ids)):
                 got, score = block.search(int(ids[i]), vectors[i], rests[i], k, floors[i])
                 if len(got):
-                    out.append((np.full(len(got), ids[i]), got, score.astype(np.int64)))
+                    out.append((np.full(len(got), base + i), np.full(len(got), ids[i]), got, score.astype(np.int64)))
                     if len(got) >= k:
                         floors[i] = max(floors[i], score.min())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["query", "query_id", "vec_id", "score"])
 
         for b in batches:
             if b.num_rows:
@@ -140,7 +167,9 @@ def _block(spark, near: DataFrame, batches: list, dim: int, k: int) -> DataFrame
         if held:
             yield from flush()
 
-    return near.mapInArrow(search, "query_id long, vec_id long, score long")
+    out = materialize(near.mapInArrow(search, "query long, query_id long, vec_id long, score long"), "answers")
+    sent.destroy()
+    return out
 
 
 def op10(embeddings: DataFrame) -> DataFrame:
