@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from array import array
@@ -38,6 +39,13 @@ def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
     return {bytes(of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in of for c in token)}
 
 
+def _splits_by_pieces(described: dict) -> bool:
+    """Whether a tokenizer's file describes byte pairs, whole words unmerged, split by PIECES and by nothing else."""
+    split, model = described["pre_tokenizer"] or {}, described["model"]
+    plain = described["normalizer"] is None and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+    return plain and model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
@@ -45,7 +53,8 @@ class Encoder:
     neighbours. A batch's distinct runs are therefore encoded once, as one text in which each run's
     first token is the one that begins with a space, and every text is gathered from them. A text with
     other white space than single inner spaces and newlines is split alone; one that holds an added
-    token's string or an unusual character goes to the tokenizer whole.
+    token's string or an unusual character goes to the tokenizer whole, and so do all texts if the file
+    describes any other tokenizer than byte-level pairs split by PIECES.
     """
 
     def __init__(self, path: str):
@@ -53,6 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = _splits_by_pieces(json.loads(self.tokenizer.to_str()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = byte_ranks(self.tokenizer.get_vocab(with_added_tokens=False))
         self.merge = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
@@ -66,6 +76,8 @@ class Encoder:
         return array("I", self.merge.encode_ordinary(text)).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.known:
+            return [self.whole(t) for t in texts]
         out, fast = [b""] * len(texts), []
         for i, t in enumerate(texts):
             if not PLAIN.fullmatch(t) or any(a in t for a in self.added):
@@ -159,8 +171,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, max_part: int = M
 
     One narrow pass without a shuffle: a task packs its rows in blocks of ``block_windows`` windows.
     A document's full windows are sequences of their own; the tails meet in the differencing. A null
-    text is empty and has the end id alone. Repeated rows are packed each for itself. Sequence ids hold
-    the partition's number above and a counter below, so a retried task gives the same ones.
+    text is empty and has the end id alone. Repeated rows and null ids are packed each for itself; empty
+    tables give no rows. Texts of any length are encoded whole, one at a time beyond BATCH characters.
+    Sequence ids hold the partition's number above and a counter below, so a retried task gives the same ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
