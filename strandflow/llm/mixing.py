@@ -53,7 +53,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     stand in one row per source, written to the shared folder: Spark then knows their size, broadcasts
     them if they are small and joins otherwise, splitting the partitions of large sources. Copies go to
     partitions by a hash of document and copy, and are sorted by it there: a permutation of the rows
-    in which partition k is no more like its source than any other.
+    in which partition k is no more like its source than any other. Empty tables give no rows; texts are
+    carried, not read, so their length does not matter; columns of any name travel inside ``_row``.
     """
     table = materialize(rates(docs, weights, alpha, total), "rates").withColumnRenamed("source", "_source")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
