@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -98,6 +99,16 @@ def _route(s: int, p: int) -> list[int]:
     return out
 
 
+def escaped(text: str) -> str:
+    """``text`` without control tokens of its own: each ``<|`` gets a backslash between, and one more for each
+    that stands there, so that ``unescaped`` gives the text back and no turn can forge another."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def _open(role: int, text: str, state: int) -> str:
     return ("<|end|>\n" if state else "") + f"<|{ROLES[role]}|>\n" + text
 
@@ -239,7 +250,7 @@ def repair(turns: DataFrame) -> DataFrame:
             roles = [role_index(r[3]) for r in rows]
             costs = forward(np.where(np.arange(5) == rows[0][6], 0, INF), roles)
             states = backward(costs, roles, rows[0][7])
-            pieces = render(roles, [r[4] or "" for r in rows], states, rows[0][8])
+            pieces = render(roles, [escaped(r[4] or "") for r in rows], states, rows[0][8])
             return [(*key, i, r[5], r[3], *p) for i, (r, p) in enumerate(zip(rows, pieces))]
 
         yield from _emit(_groups(batches, 2), make, _OUT)
@@ -247,5 +258,13 @@ def repair(turns: DataFrame) -> DataFrame:
     return _streamed(both, ["conv_id", "chunk"], ["turn_order", "role", "text"], finish, _OUT)
 
 
+def renderings(turns: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, text): each conversation's whole rendering. A conversation becomes one value here, so
+    this is for conversations that fit one; ``repair`` gives the pieces of any."""
+    pieces = F.sort_array(F.collect_list(F.struct("chunk", "pos", "piece")))
+    whole = F.concat_ws("", F.transform(pieces, lambda p: p["piece"]))
+    return repair(turns).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), whole.alias("text"))
+
+
 def op6(conversations: DataFrame) -> DataFrame:
     return repair(conversations)
