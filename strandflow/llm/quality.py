@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -63,7 +64,7 @@ def _repeat_cover(windows: Column) -> Column:
     return F.aggregate(spots, start, lambda s, i: F.struct((s.n + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s.n)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Adds the measured columns to ``docs``: n_words, word_chars, n_symbols, n_lines (with a word),
     n_dup_lines, n_repeat_words, n_stop. Null text counts as empty; every count is then 0.
 
@@ -81,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "word_chars": F.length(F.regexp_replace(body, WHITE_CLASS + "+", "")).cast("bigint"),
         "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("bigint"),
-        "n_stop": F.size(F.filter("_words", lambda w: lower_ascii(w).isin(STOP_WORDS))).cast("bigint"),
+        "n_stop": F.size(F.filter("_words", lambda w: lower_ascii(w).isin(list(stop_words)))).cast("bigint"),
     })
     span = F.greatest(F.size("_hash") - 2, F.lit(0))
     pairs = F.zip_with(F.slice("_hash", F.lit(1), span), F.slice("_hash", F.lit(2), span), lambda a, b: F.xxhash64(a, b))
@@ -90,15 +91,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", repeats).drop("_words", "_lines", "_hash", "_windows")
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``docs`` with the measured columns, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: base
     passed and every rule of the table holds. Repeated rows get equal verdicts; an input column with
-    the name of a measured one is replaced.
+    the name of a measured one is replaced. Empty tables give no rows; a text of any length is measured
+    whole. The stop words are of four languages: a text in another one meets their rule by chance only,
+    so a corpus of other languages needs ``stop_words`` of its own.
     """
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop", "base_failed", "kept")
-    out = measure(docs.drop(*(c for c in own if c != text)), text)
+    out = measure(docs.drop(*(c for c in own if c != text)), text, stop_words)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     verdict = reduce(lambda a, b: a & b, (r.column() for r in rules), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & verdict)
@@ -109,8 +112,13 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns whatever their names."""
-    return judge(docs.select(F.struct(*docs.columns).alias("_row"), "text")).where("kept").select("_row.*")
+    """The documents that pass, with their own columns whatever their names.
+
+    A filter on ``kept`` would be pushed below the projections, which copies every measure into it as often
+    as a rule names it. An array of one element or none per row drops the same rows and stays above them.
+    """
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    return judged.select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).select("_row.*")
 
 
 _IN = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
