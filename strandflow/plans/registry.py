@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import alignments, codes, numbers, sequences, structures
+from . import alignments, codes, formats, numbers, sequences, structures, tails
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (sequences, alignments, numbers, structures, codes):
+for _module in (sequences, formats, alignments, numbers, tails, structures, codes):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
