@@ -5,12 +5,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import col
+from . import ordering
 
 
 @dataclass(frozen=True)
@@ -85,30 +85,22 @@ def symbol_counts(df: DataFrame, text: str, limit: int = 256) -> dict[str, float
 LAST, FIVE, PAD = 1 << 31, 1 << 30, 31
 
 
+def _six(codes: list[int]) -> int:
+    """A word of up to six codes of 5 bits, the first in the highest bits, padded at the end."""
+    return FIVE | sum(c << (25 - 5 * k) for k, c in enumerate(codes + [PAD] * (6 - len(codes))))
+
+
 def pack5(codes: list[int]) -> list[int]:
-    """Six codes of 5 bits to a word, the first in the highest bits; the end is padded."""
-    out = []
-    for lo in range(0, len(codes), 6):
-        six = codes[lo : lo + 6]
-        word = FIVE
-        for k, c in enumerate(six + [PAD] * (6 - len(six))):
-            word |= c << (25 - 5 * k)
-        out.append(word)
-    if not out:
-        out = [FIVE | sum(PAD << (25 - 5 * k) for k in range(6))]
+    out = [_six(codes[at : at + 6]) for at in range(0, max(len(codes), 1), 6)]
     out[-1] |= LAST
     return out
 
 
 def unpack(words: list[int]) -> list[int]:
     """Of 5-bit words up to the padding, and of 2-bit words of fifteen codes."""
-    out = []
+    out: list[int] = []
     for w in words:
-        for k in range(6 if w & FIVE else 15):
-            c = w >> (25 - 5 * k) & 31 if w & FIVE else w >> (28 - 2 * k) & 3
-            if w & FIVE and c == PAD:
-                break
-            out.append(c)
+        out += [c for k in range(6) if (c := w >> (25 - 5 * k) & 31) != PAD] if w & FIVE else [w >> (28 - 2 * k) & 3 for k in range(15)]
     return out
 
 
@@ -121,9 +113,8 @@ def pack2(codes: list[int]) -> list[int]:
             out.append(sum(c << (28 - 2 * k) for k, c in enumerate(run)))
             at += 15
             continue
-        take = min(6, len(codes) - at)
-        out.append(pack5(codes[at : at + take])[0] & ~LAST)
-        at += take
+        out.append(_six(codes[at : at + 6]))
+        at += 6
     if not out:
         return pack5([])
     out[-1] |= LAST
@@ -131,22 +122,34 @@ def pack2(codes: list[int]) -> list[int]:
 
 
 def packed(codes: Column | str, two_bits: bool = False) -> Column:
-    """array<bigint> of the packed words."""
-    f = pack2 if two_bits else pack5
+    """array<bigint> of the packed words. Words of six codes of 5 bits, the first in the highest bits and the end
+    padded, are built in generated code; what 2-bit words hold depends on all before, so they are not."""
+    if two_bits:
 
-    @F.pandas_udf("array<bigint>")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else f([int(x) for x in c]) for c in v])
+        @F.pandas_udf("array<bigint>")
+        def run(v: pd.Series) -> pd.Series:
+            return pd.Series([None if c is None else pack2([int(x) for x in c]) for c in v])
 
-    return run(col(codes))
+        return run(col(codes))
+    c = col(codes)
+    last = F.greatest(F.ceil(F.size(c) / 6).cast("int") - 1, F.lit(0))
+
+    def word(w: Column) -> Column:
+        own = [F.shiftleft(F.coalesce(F.get(c, w * 6 + k).cast("bigint"), F.lit(PAD).cast("bigint")), 25 - 5 * k) for k in range(6)]
+        return sum(own, F.when(w == last, F.lit(LAST | FIVE)).otherwise(F.lit(FIVE)).cast("bigint"))
+
+    return F.when(c.isNotNull(), F.transform(F.sequence(F.lit(0), last), word))
 
 
 def unpacked(words: Column | str) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else unpack([int(x) for x in np.asarray(w)]) for w in v])
+    """array<int> of the codes of 5-bit words up to the padding, and of 2-bit words of fifteen."""
+    bits = lambda w, down, mask: F.shiftright(w, down).bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
+
+    def codes_of(w: Column) -> Column:
+        six = F.filter(F.array(*(bits(w, 25 - 5 * k, 31) for k in range(6))), lambda c: c != PAD)
+        return F.when(w.bitwiseAND(F.lit(FIVE).cast("bigint")) != 0, six).otherwise(F.array(*(bits(w, 28 - 2 * k, 3) for k in range(15))))
 
-    return run(col(words))
+    return F.flatten(F.transform(col(words), codes_of))
 
 
 # Ordered map and index
@@ -158,21 +161,39 @@ def ordered_map(entries: DataFrame) -> DataFrame:
 
 
 def name_index(seqs: DataFrame, order: str) -> DataFrame:
-    """(name, seq_len, ordinal, sorted_ordinal) of (name, seq): place in input order and by name; an error for a name that
-    repeats. The ordinals are ranks over all names, so the exchange to one task carries names and
-    lengths only."""
+    """(name, seq_len, ordinal, sorted_ordinal) of (name, seq): place in input order and by name; an error for a
+    name that repeats. Both places come from range exchanges of names and lengths."""
     n = F.count(F.lit(1)).over(Window.partitionBy("name"))
     unique = seqs.withColumn("name", F.when(n == 1, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("repeated name "), F.col("name")))))
     slim = unique.select("name", F.length("seq").cast("bigint").alias("seq_len"), order)
-    return slim.select("name", "seq_len", (F.row_number().over(Window.orderBy(order)) - 1).alias("ordinal"), (F.row_number().over(Window.orderBy("name")) - 1).alias("sorted_ordinal"))
+    by_order = ordering.numbered(slim, [order], "ordinal")
+    return ordering.numbered(by_order, ["name"], "sorted_ordinal").select("name", "seq_len", "ordinal", "sorted_ordinal")
 
 
 def with_aliases(index: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Index rows under their own names and under (alias, name)."""
-    extra = aliases.join(index, "name").select(F.col("alias").alias("key"), *index.columns)
+    """Index rows under their own names and under (alias, name); an error for an alias of an unknown name."""
+    there = F.col("_there").isNotNull()
+    key = F.when(there, F.col("alias")).otherwise(F.raise_error(F.concat(F.lit("alias of an unknown name "), F.col("name"))))
+    extra = aliases.select("alias", "name").join(index.withColumn("_there", F.lit(True)), "name", "left").select(key.alias("key"), *index.columns)
     return index.select(F.col("name").alias("key"), *index.columns).unionByName(extra)
 
 
+def found(entries: DataFrame, key) -> DataFrame:
+    """(value) under one key of an ordered map: no row or one."""
+    return entries.where(F.col("key") == key).select("value")
+
+
+def ends(entries: DataFrame) -> DataFrame:
+    """(least_key, least_value, greatest_key, greatest_value) of an ordered map."""
+    both = entries.agg(F.min(F.struct("key", "value")).alias("a"), F.max(F.struct("key", "value")).alias("b"))
+    return both.select(F.col("a.key").alias("least_key"), F.col("a.value").alias("least_value"), F.col("b.key").alias("greatest_key"), F.col("b.value").alias("greatest_value"))
+
+
+def in_order(entries: DataFrame) -> DataFrame:
+    """(place, key, value) of an ordered map."""
+    return ordering.numbered(entries.select("key", "value"), ["key"], "place").select("place", "key", "value")
+
+
 def byte_offset(data_offset: Column | str, position: Column | str, residues_per_line: int, bytes_per_line: int) -> Column:
     """Offset of a 1-based residue in a file of lines of equal length."""
     p = col(position) - 1
