@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,14 +180,8 @@ class Weibull:
         return F.lit(mu) + F.pow(-F.log1p(-col(p)), F.lit(1.0 / shape)) / rate
 
 
-def _udf(f):
-    """A Column function of x from a numpy one: Spark has no erfc and no incomplete gamma."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(f(x.to_numpy(float)))
-
-    return lambda x: run(col(x))
+#: Spark has no erfc and no incomplete gamma.
+_udf = special.by_batch
 
 
 #: The published rational approximation of the normal quantile (relative error 1.15e-9).
@@ -278,7 +271,7 @@ class Gamma:
     @staticmethod
     def _pq(which):
         def of(x, mu, rate, shape):
-            return _udf(lambda v: np.array([special.gamma_p_q(shape, (t - mu) * rate)[which] for t in v]))(x)
+            return _udf(lambda v: special.gamma_p_q_all(shape, (v - mu) * rate)[which])(x)
 
         return of
 
@@ -302,12 +295,16 @@ class Gamma:
 
     @staticmethod
     def invcdf(p, mu, rate, shape):
-        def one(q):
-            if not 0 < q < 1:
-                return math.nan if q < 0 or q > 1 else mu if q == 0 else math.inf
-            high = max(shape, 1.0)
-            while special.gamma_p_q(shape, high)[0] < q:
-                high *= 2
-            return mu + special.bisect(lambda y: special.gamma_p_q(shape, y)[0] - q, 0.0, high) / rate
-
-        return _udf(np.vectorize(one, otypes=[float]))(p)
+        def of(q: np.ndarray) -> np.ndarray:
+            inside = (q > 0) & (q < 1)
+            p = np.where(inside, q, 0.5)
+            low, high = np.zeros(len(p)), np.full(len(p), max(shape, 1.0))
+            while (short := special.gamma_p_q_all(shape, high)[0] < p).any():
+                high = np.where(short, high * 2, high)
+            for _ in range(100):
+                middle = (low + high) / 2
+                under = special.gamma_p_q_all(shape, middle)[0] < p
+                low, high = np.where(under, middle, low), np.where(under, high, middle)
+            return np.where(inside, mu + (low + high) / 2 / rate, np.where(q == 0, mu, np.where(q == 1, np.inf, np.nan)))
+
+        return _udf(of)(p)

@@ -67,3 +67,31 @@ def reverse_windows(df: DataFrame, seq: str, abc: Alphabet, width: int, context:
 def wrap(seq: Column | str, width: int) -> Column:
     """Lines of ``width`` characters; 0 keeps one line."""
     return col(seq) if width == 0 else F.regexp_replace(col(seq), f"(.{{{width}}})(?=.)", "$1\n")
+
+
+def appended(abc: Alphabet, codes: Column | str, text: Column | str) -> Column:
+    """A code array with the codes of more text at its end."""
+    return F.concat(col(codes), abc.digitize(text))
+
+
+def record(name: Column | str, seq: Column | str, **more) -> Column:
+    """A sequence as a struct of name, seq, accession, description and source; what is not given is null."""
+    other = [F.coalesce(col(more[k]) if isinstance(more.get(k), (str, Column)) else F.lit(None).cast("string")).alias(k) for k in ("accession", "description", "source")]
+    return F.struct(col(name).alias("name"), col(seq).alias("seq"), *other)
+
+
+def same(a: Column | str, b: Column | str) -> Column:
+    """Whether two records have one name and one sequence, whatever else they hold."""
+    a, b = col(a), col(b)
+    return (a["name"] == b["name"]) & (a["seq"] == b["seq"])
+
+
+def line_count(text: Column | str) -> Column:
+    """Lines of a text; an end of line at its end begins no other."""
+    t = F.regexp_replace(col(text), r"\n\z", "")
+    return F.when(F.length(col(text)) > 0, F.size(F.split(t, "\n", -1))).otherwise(0)
+
+
+def line_at(text: Column | str, i: int | Column) -> Column:
+    """The 0-based ``i``-th line, null where there is none."""
+    return F.get(F.split(F.regexp_replace(col(text), r"\n\z", ""), "\n", -1), i if isinstance(i, Column) else F.lit(i))

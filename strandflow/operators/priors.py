@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import special
+from ..functions import random, special
 from ..functions.alphabet import col
 
 #: One pseudocount for each residue.
@@ -25,6 +25,13 @@ def posterior_mean(counts: Column | str, alpha: tuple[float, ...]) -> Column:
     return F.zip_with(raised, F.array_repeat(total, len(alpha)), lambda x, t: x / t)
 
 
+def log_density_column(p: Column | str, alpha: tuple[float, ...]) -> Column:
+    """Log density of probability vectors; places where p is 0 are skipped."""
+    front = math.lgamma(sum(alpha)) - sum(math.lgamma(a) for a in alpha)
+    terms = F.zip_with(col(p), F.array(*map(F.lit, alpha)), lambda x, a: F.when(x > 0, (a - 1) * F.ln(x)).otherwise(0.0))
+    return F.lit(front) + F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+
+
 def log_density(p: np.ndarray, alpha: np.ndarray) -> float:
     """Places where p is 0 are skipped."""
     seen = p > 0
@@ -65,8 +72,16 @@ class Mixture:
     def same(self, other: Mixture, tolerance: float) -> bool:
         return self.alpha.shape == other.alpha.shape and bool(np.abs(self.weights - other.weights).max() <= tolerance and np.abs(self.alpha - other.alpha).max() <= tolerance)
 
+    def component(self, k: int) -> tuple[float, ...]:
+        return tuple(float(a) for a in self.alpha[k])
+
+    def with_component(self, k: int, alpha) -> Mixture:
+        changed = self.alpha.copy()
+        changed[k] = alpha
+        return Mixture(self.weights, changed)
+
     def column(self, what: str, counts: Column | str) -> Column:
-        """``log_prob``, ``posterior_weights`` or ``posterior_mean`` of a column of count vectors."""
+        """``log_prob``, ``log_terms``, ``posterior_weights`` or ``posterior_mean`` of a column of count vectors."""
         kind = T.DoubleType() if what == "log_prob" else T.ArrayType(T.DoubleType())
 
         @F.pandas_udf(kind)
@@ -109,11 +124,10 @@ def fit(counts: np.ndarray, k: int, steps: int = 200, seed: int = 1) -> tuple[Mi
 
 
 def sample(spark, n: int, alpha: tuple[float, ...], seed: int) -> DataFrame:
-    """(id, p): draws of a Dirichlet; each id has its own seed, so partitions do not matter."""
-    a = np.asarray(alpha)
+    """(id, p): draws of a Dirichlet; each id has its own draws, so partitions do not matter."""
+    return spark.range(n).select("id", random.dirichlet(seed, "id", list(alpha)).alias("p"))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def draw(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(i)]).dirichlet(a).tolist() for i in ids])
 
-    return spark.range(n).select("id", draw("id").alias("p"))
+def sample_uniform(spark, n: int, k: int, seed: int) -> DataFrame:
+    """(id, p): draws that are uniform over the simplex of ``k`` shares."""
+    return sample(spark, n, (1.0,) * k, seed)
