@@ -39,9 +39,10 @@ class ScoreMatrix:
         return self.scores[: self.abc.k, : self.abc.k]
 
     def score(self, a: Column | str, b: Column | str) -> Column:
-        """Score of two code columns."""
+        """Score of two code columns, null where one is null."""
         flat = F.array(*(F.lit(int(x)) for x in self.scores.ravel()))
-        return F.element_at(flat, col(a) * self.abc.kp + col(b) + 1)
+        # The place is tested first: generated code reads an element of a constant array for a null place too.
+        return F.when(col(a).isNotNull() & col(b).isNotNull(), F.element_at(flat, col(a) * self.abc.kp + col(b) + 1))
 
     def score_symbols(self, a: Column | str, b: Column | str) -> Column:
         """Null for a symbol outside the alphabet."""
@@ -52,6 +53,13 @@ class ScoreMatrix:
         rows = [(self.name, s[i], s[j], int(v)) for (i, j), v in np.ndenumerate(self.canonical())]
         return spark.createDataFrame(rows, "matrix string, a string, b string, s int")
 
+    def highest(self) -> int:
+        """Of two canonical symbols."""
+        return int(self.canonical().max())
+
+    def lowest(self) -> int:
+        return int(self.canonical().min())
+
     def is_symmetric(self) -> bool:
         return bool((self.canonical() == self.canonical().T).all())
 
@@ -132,3 +140,11 @@ def from_pairs(p: np.ndarray, fi, fj, scale: float, abc: Alphabet = AMINO) -> Sc
     s = np.zeros((abc.kp, abc.kp), int)
     s[: abc.k, : abc.k] = np.rint(np.log(p / np.outer(fi, fj)) / scale)
     return ScoreMatrix("implied", s, abc)
+
+
+def by_name(spark, folder: str, name: str, abc: Alphabet = AMINO) -> ScoreMatrix | None:
+    """The matrix that the file ``name`` of a folder of published text files holds, whatever the name's case; None
+    without such a file."""
+    files = spark.read.format("binaryFile").load(folder).where(F.lower(F.element_at(F.split("path", "/"), -1)) == name.lower())
+    found = files.select("content").limit(1).collect()
+    return read_scores(bytes(found[0].content).decode(), name, abc) if found else None

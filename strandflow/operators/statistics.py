@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.alphabet import col
+from . import ordering
 
 
 def histogram(df: DataFrame, low: float, width: float, bins: int | None = None) -> DataFrame:
@@ -42,18 +43,54 @@ def tail_at(df: DataFrame, low: float, width: float, cut: float) -> DataFrame:
     return df.groupBy("grp").agg(F.lit(edge).alias("cut"), F.sum((F.col("x") >= edge).cast("bigint")).alias("n_tail"), F.count("x").alias("n")).withColumn("share", F.col("n_tail") / F.col("n"))
 
 
+#: Parts that the range of a group is cut into to find where its largest values begin.
+_PARTS = 4096
+
+
+def _largest(df: DataFrame, need: Callable[[Column], Column]) -> DataFrame:
+    """(grp, x, n): the values of the top parts of each group's range that hold ``need(n)`` of its n values.
+
+    Counts of equal parts of the range decide, so that only the values near the top are ever sorted. A group
+    of infinite range is one part.
+    """
+    known = df.where(F.col("x").isNotNull() & ~F.isnan("x")).select("grp", F.col("x").cast("double").alias("x"))
+    span = known.groupBy("grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    wide = F.col("hi") - F.col("lo")
+    part = F.when((wide > 0) & (wide < float("inf")), F.least(F.floor((F.col("x") - F.col("lo")) / wide * _PARTS), F.lit(_PARTS - 1))).otherwise(F.lit(0))
+    placed = known.join(span, "grp").withColumn("part", part)
+    counts = placed.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    above = F.sum("c").over(Window.partitionBy("grp").orderBy(F.desc("part"))) - F.col("c")
+    first = counts.withColumn("above", above).where(F.col("above") < need(F.col("n"))).groupBy("grp").agg(F.min("part").alias("first"))
+    return placed.join(first, "grp").where("part >= first").select("grp", "x", "n")
+
+
 def ranked(df: DataFrame, rank: int) -> DataFrame:
     """(grp, x): the value of ``rank`` from the top, 0 for the largest; no row where there is none."""
     w = Window.partitionBy("grp").orderBy(F.desc("x"))
-    return df.where("x is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") == rank + 1).select("grp", "x")
+    return _largest(df, lambda n: F.lit(rank + 1)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == rank + 1).select("grp", "x")
 
 
 def tail_by_mass(df: DataFrame, mass: float) -> DataFrame:
     """(grp, x, place): the largest ceil(n * mass) values, place 0 for the smallest of them."""
-    w = Window.partitionBy("grp")
-    n = df.where("x is not null").withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy("x")))
-    first = F.col("_n") - F.ceil(F.col("_n") * mass)
-    return n.where(F.col("_r") > first).select("grp", "x", (F.col("_r") - first - 1).cast("bigint").alias("place"))
+    size = lambda n: F.ceil(n * mass)
+    w = Window.partitionBy("grp").orderBy(F.desc("x"))
+    top = _largest(df, size).withColumn("_r", F.row_number().over(w))
+    return top.where(F.col("_r") <= size(F.col("n"))).select("grp", "x", (size(F.col("n")) - F.col("_r")).cast("bigint").alias("place"))
+
+
+def sorted_data(df: DataFrame) -> DataFrame:
+    """(grp, place, x): each group's values in rising order, places from 0. The exchange is by range of group and
+    value, so a large group spreads over tasks; places come from the counts of the ranges before."""
+    known = df.where("x is not null").select("grp", "x")
+    return ordering.numbered(known, ["grp", "x"], "place", within="grp")
+
+
+def expected_tail(observed: DataFrame, rate: float, mu: float, low: float, width: float, n_tail: Column | str = "n_tail") -> DataFrame:
+    """Adds ``e`` to (grp, bin, n_tail): the values that an exponential tail from ``mu`` on, of ``n_tail`` values,
+    puts into each bin; 0 under ``mu``."""
+    surv = lambda x: F.when(x <= mu, 1.0).otherwise(F.exp(-rate * (x - mu)))
+    edge = F.lit(low) + F.col("bin") * width
+    return observed.withColumn("e", col(n_tail) * (surv(edge) - surv(edge + width)))
 
 
 def goodness(observed: DataFrame, expected_cdf: Callable[[Column], Column], low: float, width: float, least: float = 5.0) -> DataFrame:
@@ -91,11 +128,7 @@ def g_test(ca, na, cb, nb) -> tuple[Column, Column]:
     hit, n = ca + cb, na + nb
     g = 2 * (term(ca, na * hit / n) + term(na - ca, na * (n - hit) / n) + term(cb, nb * hit / n) + term(nb - cb, nb * (n - hit) / n))
 
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return pd.Series([math.erfc(math.sqrt(max(v, 0.0) / 2)) for v in x])
-
-    return g, tail(g)
+    return g, special.erfc_column(F.sqrt(F.greatest(g, F.lit(0.0)) / 2))
 
 
 def regression(df: DataFrame, sigma: str | None = None) -> DataFrame:
@@ -146,16 +179,24 @@ def fit_gumbel_censored_location(df: DataFrame, rate: float, cut: float) -> Data
 
 
 def _by_group(df: DataFrame, make: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
+    """A row for each group; nulls, and ``converged`` false, for one that has no fit: too few values, or all equal."""
     kind = dict(df.dtypes)["grp"]
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *make(f["x"].to_numpy(float)))], columns=["grp", *names])
+        x = f["x"].to_numpy(float)
+        try:
+            got = make(x)
+        except (ValueError, OverflowError, ZeroDivisionError):
+            got = tuple(False if n == "converged" else None for n in names)
+        return pd.DataFrame([(key[0], *got)], columns=["grp", *names])
 
     return df.where("x is not null").select("grp", "x").groupBy("grp").applyInPandas(run, f"grp {kind}, " + ", ".join(f"{n} {'boolean' if n == 'converged' else 'double'}" for n in names))
 
 
 def _gumbel(x: np.ndarray, censored: int = 0, cut: float = 0.0) -> tuple[float, float, bool]:
     """Location and rate; ``censored`` values are only known to lie under ``cut``."""
+    if len(x) < 2 or x.min() == x.max():
+        raise ValueError("too few different values")
     low, n = min(float(x.min()), cut if censored else float(x.min())), len(x)
     y, c = x - low, cut - low
 
@@ -220,7 +261,8 @@ def _numeric(f):
 
 
 def fit_gamma(df: DataFrame, mu: float) -> DataFrame:
-    """(grp, rate, shape) from each group's mean and mean logarithm; the search runs on those two numbers."""
+    """(grp, rate, shape) from each group's mean and mean logarithm; the search runs on those two numbers. Null
+    for a group without two different values above ``mu``."""
     y = F.col("x") - mu
     s = df.groupBy("grp").agg(F.avg(y).alias("m"), F.avg(F.when(y > 0, F.ln(y)).otherwise(-36.0)).alias("l"))
 
@@ -228,7 +270,10 @@ def fit_gamma(df: DataFrame, mu: float) -> DataFrame:
     def shape(m: pd.Series, mean_log: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(m, mean_log):
-            gap = math.log(a) - b
+            gap = math.log(a) - b if a > 0 else 0.0
+            if not gap > 1e-12:  # all values equal, or none above the location
+                out.append(math.nan)
+                continue
             k = (3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap)
             for _ in range(100):
                 move = (math.log(k) - special.digamma(k) - gap) / (1 / k - special.trigamma(k))
@@ -238,7 +283,7 @@ def fit_gamma(df: DataFrame, mu: float) -> DataFrame:
             out.append(k)
         return pd.Series(out)
 
-    return s.withColumn("shape", shape("m", "l")).select("grp", (F.col("shape") / F.col("m")).alias("rate"), "shape")
+    return s.withColumn("shape", F.nullif(shape("m", "l"), F.lit(float("nan")))).select("grp", F.try_divide("shape", "m").alias("rate"), "shape")
 
 
 def fit_weibull(df: DataFrame) -> DataFrame:
@@ -247,8 +292,8 @@ def fit_weibull(df: DataFrame) -> DataFrame:
     def make(x):
         mu = float(x.min())
         y = np.log(x[x > mu] - mu)
-        if not len(y):
-            return mu, math.nan, math.nan, False
+        if len(y) < 2 or y.min() == y.max():
+            return mu, None, None, False
         top, mean = y.max(), y.mean()
 
         def f(k):
@@ -257,7 +302,7 @@ def fit_weibull(df: DataFrame) -> DataFrame:
 
         a, b = 1e-3, 1e2
         if f(b) > 0:
-            return mu, math.nan, math.nan, False
+            return mu, None, None, False
         k = special.bisect(f, a, b, 1e-14)
         scale = math.exp(top) * float(np.exp(k * (y - top)).mean()) ** (1 / k)
         return mu, 1 / scale, k, True
@@ -269,6 +314,8 @@ def fit_gev(df: DataFrame) -> DataFrame:
     """(grp, mu, rate, shape, converged): probability-weighted moments, then the likelihood."""
 
     def make(x):
+        if len(x) < 3 or x.min() == x.max():
+            raise ValueError("too few different values")
         x = np.sort(x)
         n, j = len(x), np.arange(len(x))
         b0, b1 = x.mean(), float((j / max(n - 1, 1) * x).mean())
