@@ -13,6 +13,12 @@ from ..functions import wuss
 from ..functions.alphabet import Alphabet, guess_type
 
 
+def from_text(rows: DataFrame, abc: Alphabet) -> DataFrame:
+    """``rows`` with ``aln`` in the alphabet's own symbols; an error for any other symbol, or for rows of unequal
+    or no length."""
+    return checked(rows.withColumn("aln", abc.require("aln")))
+
+
 def checked(rows: DataFrame) -> DataFrame:
     """The rows; an error where an alignment's rows differ in length or are empty."""
     n = F.length("aln")
@@ -178,5 +184,26 @@ def valid(rows: DataFrame, abc: Alphabet, markup: DataFrame | None = None) -> Da
     return own.join(marks, "msa_id", "left").select("msa_id", (F.col("v") & fits).alias("is_valid"))
 
 
+def by_name(rows: DataFrame) -> DataFrame:
+    """(msa_id, rows): a map of each alignment's names to its idx; a repeated name has the last."""
+    last = rows.groupBy("msa_id", "name").agg(F.max("idx").alias("idx"))
+    return last.groupBy("msa_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "idx")))).alias("rows"))
+
+
+def row_count(rows: DataFrame) -> DataFrame:
+    """(msa_id, n)."""
+    return rows.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_broken_pairs(ss: Column | str, keep: Column | str) -> Column:
+    """A structure line with dots for both partners of a pair of which ``keep`` (array<boolean>, a flag for each
+    column) drops one."""
+    k = F.col(keep) if isinstance(keep, str) else keep
+    text = F.col(ss) if isinstance(ss, str) else ss
+    partner = wuss.partners(text)
+    kept = F.transform(partner, lambda p, i: (p < 0) | (F.get(k, i) & F.get(k, p)))
+    return F.array_join(F.transform(kept, lambda ok, i: F.when(ok, F.substring(text, i + 1, F.lit(1))).otherwise(F.lit("."))), "")
+
+
 def default_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.lit(1.0))

@@ -19,7 +19,7 @@ def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label; the rounds end when none changes. Tables are cut by checkpoint() where a folder is set."""
     both = edges.select("msa_id", "i", "j").unionByName(edges.select("msa_id", F.col("j").alias("i"), F.col("i").alias("j"))).persist()
     labels = nodes.select("msa_id", "idx", F.col("idx").alias("root"))
-    cut = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    cut, held = edges.sparkSession.sparkContext.getCheckpointDir() is not None, None
     while True:
         near = both.join(labels.withColumnRenamed("idx", "j"), ["msa_id", "j"]).groupBy("msa_id", F.col("i").alias("idx")).agg(F.min("root").alias("near"))
         step = labels.join(near, ["msa_id", "idx"], "left").select("msa_id", "idx", "root", F.least("root", "near").alias("r"))
@@ -27,6 +27,9 @@ def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = step.join(jump, ["msa_id", "r"]).select("msa_id", "idx", F.col("rr").alias("root"), (F.col("rr") != F.col("root")).alias("moved"))
         after = after.checkpoint() if cut else after.persist()
         moved = after.where("moved").limit(1).count()
+        if held is not None:
+            held.unpersist()
+        held = None if cut else after
         labels = after.drop("moved")
         if not moved:
             both.unpersist()
@@ -38,6 +41,16 @@ def by_identity(rows: DataFrame, abc: Alphabet, length: int, least: float) -> Da
     return linked_components(rows, pairs.pairs(rows, abc, length).where(pairs.identity() >= least))
 
 
+def by_distance(rows: DataFrame, distances: DataFrame, most: float) -> DataFrame:
+    """(msa_id, idx, root) of rows linked at a distance of ``most`` or less in (msa_id, i, j, d)."""
+    return linked_components(rows, distances.where(F.col("d") <= most))
+
+
+def count(clusters: DataFrame) -> DataFrame:
+    """(msa_id, n): clusters of each alignment."""
+    return clusters.groupBy("msa_id").agg(F.count_distinct("root").alias("n"))
+
+
 def numbered(clusters: DataFrame) -> DataFrame:
     """Adds ``cluster``: 0, 1, ... in order of each cluster's first row."""
     roots = clusters.select("msa_id", "root").distinct()
@@ -57,13 +70,21 @@ def position_weights(rows: DataFrame, abc: Alphabet, keep: DataFrame | None = No
     """(msa_id, idx, weight): each column shares one among its kinds of canonical residue and then among
     the rows of a kind; a row's share over its residue count, scaled to a mean of 1. ``keep``: (msa_id,
     col) of the columns that count."""
-    long = alignment.cells(rows).where(F.col("symbol").isin(*abc.symbols[: abc.k]))
+    letters = abc.symbols[: abc.k]
+    long = alignment.cells(rows).where(F.col("symbol").isin(*letters)).select("msa_id", "col", "symbol")
     if keep is not None:
         long = long.join(keep.select("msa_id", "col"), ["msa_id", "col"], "left_semi")
-    kinds = long.groupBy("msa_id", "col", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    share = kinds.join(kinds.groupBy("msa_id", "col").agg(F.count(F.lit(1)).alias("r")), ["msa_id", "col"]).select("msa_id", "col", "symbol", (1 / (F.col("r") * F.col("n"))).alias("s"))
-    own = long.join(share, ["msa_id", "col", "symbol"]).groupBy("msa_id", "idx").agg((F.sum("s") / F.count(F.lit(1))).alias("w"))
-    every = rows.select("msa_id", "idx").join(own, ["msa_id", "idx"], "left").select("msa_id", "idx", F.coalesce("w", F.lit(0.0)).alias("w"))
+    # One row for each column, of K counts summed before the exchange, then one for each alignment: its size is the alignment's width.
+    count = [F.sum((F.col("symbol") == c).cast("bigint")) for c in letters]
+    columns = long.groupBy("msa_id", "col").agg(F.array(*count).alias("n"))
+    kinds = F.size(F.filter("n", lambda x: x > 0))
+    share = F.transform("n", lambda x: F.when(x > 0, 1 / (kinds * x)).otherwise(F.lit(0.0)))
+    lists = columns.select("msa_id", "col", share.alias("s")).groupBy("msa_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "s"))).alias("shares"))
+    chars = F.filter(F.split("aln", ""), lambda c: c != "")
+    own = F.transform(chars, lambda c, i: F.get(F.try_element_at("shares", i + 1), F.instr(F.lit(letters), c) - 1))
+    seen = F.filter("own", lambda x: x.isNotNull())
+    every = rows.join(lists, "msa_id", "left").select("msa_id", "idx", own.alias("own")).select("msa_id", "idx", seen.alias("v"))
+    every = every.select("msa_id", "idx", F.coalesce(F.try_divide(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), F.size("v")), F.lit(0.0)).alias("w"))
     total = every.groupBy("msa_id").agg(F.sum("w").alias("t"), F.count(F.lit(1)).alias("n"))
     return every.join(total, "msa_id").select("msa_id", "idx", F.when(F.col("t") > 0, F.col("w") * F.col("n") / F.col("t")).otherwise(1.0).alias("weight"))
 

@@ -40,6 +40,39 @@ def independent_set(vertices: DataFrame, links: DataFrame, seed: int = 1) -> Dat
     return mark.join(chosen.withColumn("chosen", F.lit(True)), ["g", "i"], "left").select("g", "i", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
+def independent_pair(vertices: DataFrame, links: DataFrame, seed: int = 1) -> DataFrame:
+    """(g, i, side): 1 and 2 for two sets without links between them, 1 the larger, 0 for the rest, by rounds of
+    elections.
+
+    In a round every open vertex stands for a side that it may still join, by a hashed coin if both. It joins if
+    it outranks all open neighbours that stand for the other side; then its neighbours may no longer join the
+    side across. Each round is a min and two joins, and the vertex of least rank always joins.
+    """
+    edges = both_ways(links).where("i <> j").persist()
+    left, joined, turn = vertices.select("g", "i").distinct().withColumns({"one": F.lit(True), "two": F.lit(True)}), None, 0
+    while True:
+        coin = F.pmod(_rank(seed + 2 * turn, "g", "i"), F.lit(2)) == 0
+        stand = F.when(F.col("one") & (~F.col("two") | coin), 1).otherwise(2)
+        ranked = left.withColumns({"side": stand, "r": F.struct(_rank(seed + 2 * turn + 1, "g", "i").alias("h"), F.col("i").alias("v"))}).persist()
+        across = edges.join(ranked.select("g", F.col("i").alias("j"), F.col("side").alias("sj"), F.col("r").alias("rj")), ["g", "j"]).join(ranked.select("g", "i", "side"), ["g", "i"]).where("side <> sj")
+        least = across.groupBy("g", "i").agg(F.min("rj").alias("best"))
+        won = ranked.join(least, ["g", "i"], "left").where("best is null or r < best").select("g", "i", "side").persist()
+        if won.isEmpty():
+            break
+        joined = won if joined is None else joined.unionByName(won)
+        near = edges.join(won, ["g", "i"]).groupBy("g", F.col("j").alias("i")).agg(F.max(F.col("side") == 1).alias("by_one"), F.max(F.col("side") == 2).alias("by_two"))
+        rest = left.join(won, ["g", "i"], "left_anti").join(near, ["g", "i"], "left")
+        left = rest.select("g", "i", (F.col("one") & ~F.coalesce("by_two", F.lit(False))).alias("one"), (F.col("two") & ~F.coalesce("by_one", F.lit(False))).alias("two")).where("one or two")
+        left = left.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+        turn += 1
+    mark = vertices.select("g", "i").distinct()
+    if joined is None:
+        return mark.withColumn("side", F.lit(0))
+    size = joined.groupBy("g").agg(F.sum((F.col("side") == 1).cast("int")).alias("n1"), F.sum((F.col("side") == 2).cast("int")).alias("n2"))
+    named = mark.join(joined, ["g", "i"], "left").join(size, "g", "left")
+    return named.select("g", "i", F.when(F.col("side").isNull(), 0).when(F.col("n2") > F.col("n1"), 3 - F.col("side")).otherwise(F.col("side")).alias("side"))
+
+
 def random_split(vertices: DataFrame, links: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """(g, i, side): S by a hashed coin of probability ``share``, T the others without a neighbour in S, null
     the rest."""
@@ -160,3 +193,8 @@ def matching(links: DataFrame) -> DataFrame:
         return pd.DataFrame({"g": key[0], "i": list(near), "mate": pd.array([mate.get(i) for i in near], "Int64")})
 
     return links.select("g", "i", "j").groupBy("g").applyInPandas(run, "g long, i long, mate long")
+
+
+def matching_size(mates: DataFrame) -> DataFrame:
+    """(g, n): matched pairs of each graph."""
+    return mates.groupBy("g").agg(F.count("mate").alias("n"))

@@ -2,8 +2,7 @@
 
 A row is turned once into bit planes: five bits of each symbol's code and one of whether it is a
 residue, 60 columns to a bigint. A pair's matches are then a few ANDs and bit counts in generated code,
-whatever the alphabet. Pairs are an equi-join on the alignment; for alignments of many rows
-``blocked_pairs`` deals them out by blocks.
+whatever the alphabet. Pairs are an equi-join on the alignment and two blocks of its rows.
 """
 
 from __future__ import annotations
@@ -48,30 +47,34 @@ def both_and_same(a: str, b: str, length: int) -> tuple[Column, Column]:
     return both, same
 
 
-def pairs(rows: DataFrame, abc: Alphabet, length: int) -> DataFrame:
+#: Rows of an alignment that one task pairs with as many others.
+BLOCK_ROWS = 2000
+
+
+def pairs(rows: DataFrame, abc: Alphabet, length: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(msa_id, i, j, n_both, n_same, n_i, n_j) of every two rows i < j of each alignment.
 
-    Both sides read one exchange on the alignment: the planes are made once, before it, and the pairs
-    of small tables still spread over as many tasks as the session's shuffles have."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = prepared(rows, abc, length).repartition(n, "msa_id")
-    a = p.select("msa_id", F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
-    b = p.select("msa_id", F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
-    both, same = both_and_same("pi", "pj", length)
-    return a.join(b, "msa_id").where("i < j").select("msa_id", "i", "j", both.alias("n_both"), same.alias("n_same"), "n_i", "n_j")
+    An alignment's rows are dealt by hash to one block for every ``block_rows`` of them, and every two blocks
+    are joined, so that a large alignment spreads over as many keys as it has pairs of blocks and a small one is
+    one key. Planes are made once, before the exchange."""
+    blocks = rows.groupBy("msa_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    return _joined(prepared(rows, abc, length).join(blocks, "msa_id"), length)
 
 
 def blocked_pairs(rows: DataFrame, abc: Alphabet, length: int, blocks: int) -> DataFrame:
-    """As ``pairs``: each alignment's rows are dealt to ``blocks`` blocks by hash and joined block by block,
-    so that one large alignment spreads over blocks * (blocks + 1) / 2 keys."""
-    p = prepared(rows, abc, length).withColumn("k", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
-    every = F.array(*map(F.lit, range(blocks)))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = p.repartition(n, "msa_id", "k")
-    a = p.select("msa_id", F.col("k").alias("ka"), F.explode(every).alias("kb"), F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
-    b = p.select("msa_id", F.explode(every).alias("ka"), F.col("k").alias("kb"), F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
+    """As ``pairs``, with the same number of blocks for each alignment."""
+    return _joined(prepared(rows, abc, length).withColumn("blocks", F.lit(blocks)), length)
+
+
+def _joined(p: DataFrame, length: int) -> DataFrame:
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = p.withColumns({"k": F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"), "every": F.sequence(F.lit(0), F.col("blocks") - 1)})
+    # Each block in the first place of a pair meets every block in the second; i < j keeps a pair of rows once.
+    a = dealt.select("msa_id", F.col("k").alias("ka"), F.explode("every").alias("kb"), F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
+    b = dealt.select("msa_id", F.explode("every").alias("ka"), F.col("k").alias("kb"), F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
+    keys = ["msa_id", "ka", "kb"]
     both, same = both_and_same("pi", "pj", length)
-    return a.join(b, ["msa_id", "ka", "kb"]).where("i < j").select("msa_id", "i", "j", both.alias("n_both"), same.alias("n_same"), "n_i", "n_j")
+    return a.repartition(n, *keys).join(b.repartition(n, *keys), keys).where("i < j").select("msa_id", "i", "j", both.alias("n_both"), same.alias("n_same"), "n_i", "n_j")
 
 
 def identity() -> Column:
@@ -122,6 +125,15 @@ def averages(rows: DataFrame, abc: Alphabet, length: int, threshold: float, samp
     ``sample`` of them that a hash picks; connectivity is the share at ``threshold`` or more."""
     p = pairs(rows, abc, length)
     if sample is not None:
-        p = p.where(F.pmod(F.xxhash64(F.lit(seed), "msa_id", "i", "j"), F.lit(1 << 30)) < int(sample * (1 << 30)))
+        p = p.where(_drawn(seed) < int(sample * _PRIME))
     pid = identity()
     return p.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(pid).alias("avg_identity"), F.avg(match()).alias("avg_match"), F.avg((pid >= threshold).cast("double")).alias("connectivity"))
+
+
+_PRIME = (1 << 31) - 1
+
+
+def _drawn(seed: int) -> Column:
+    """A number under _PRIME for each pair, by two steps of a multiplicative generator, which any engine can repeat."""
+    h = F.pmod(F.pmod("msa_id", F.lit(_PRIME)) * 16807 + F.pmod("i", F.lit(_PRIME)) * 48271 + F.pmod("j", F.lit(_PRIME)) * 69621 + seed, F.lit(_PRIME))
+    return (h * 48271 + 11) % _PRIME * 69621 % _PRIME

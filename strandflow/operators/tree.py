@@ -69,37 +69,58 @@ class Tree:
         return n == 2 * self.leaves - 1 and [i for i in range(n) if self.parent[i] < 0] == [n - 1]
 
 
+#: Leaves of the largest tree that is built: its distances fill 800 MB.
+MOST_LEAVES = 10_000
+
+
 def linkage(d: np.ndarray, method: str = "average", names: list[str] | None = None) -> Tree:
     """``average`` (weighted by size), ``weighted`` (plain mean of two), ``single`` or ``complete``. The pair of
     smallest distance is merged, the first such pair in order of node; a node's height is half the distance
     for the two averages and the distance itself for the others."""
     n = len(d)
+    if n > MOST_LEAVES:
+        raise ValueError(f"{n} leaves: a tree of over {MOST_LEAVES} needs more memory than a task has")
     names = names or [str(i) for i in range(n)]
     total = 2 * n - 1
     t = Tree([-1] * total, [-1] * total, [-1] * total, [0.0] * total, [1] * total, names)
-    full = np.full((total, total), np.inf)
-    full[:n, :n] = d
-    full[np.tril_indices(total)] = np.inf
-    height = np.zeros(total)
-    slots = list(range(n))  # clusters in the order in which ties are scanned
+    # A cluster keeps the place of one of its two parts; ``ids`` names the node that a place holds, -1 for none.
+    dist = np.array(d, float)
+    ids, height = np.arange(n), np.zeros(total)
+    near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def look(r: int) -> None:
+        """The nearest cluster with a larger node than that of place ``r``, the smallest node of equal ones."""
+        later = np.flatnonzero(ids > ids[r])
+        least[r] = np.inf
+        if len(later):
+            least[r] = dist[r, later].min()
+            ties = later[dist[r, later] == least[r]]
+            near[r] = ties[ids[ties].argmin()]
+
+    for r in range(n):
+        look(r)
     for node in range(n, total):
-        block = full[np.ix_(slots, slots)]
-        at = int(block.argmin())
-        a, b = slots[at // len(slots)], slots[at % len(slots)]
-        low, high = min(a, b), max(a, b)
-        dist = full[low, high]
-        height[node] = dist / 2 if method in ("average", "weighted") else dist
+        live = np.flatnonzero(ids >= 0)
+        ties = live[least[live] == least[live].min()]
+        p = int(ties[ids[ties].argmin()])
+        q = int(near[p])
+        a, b = int(ids[p]), int(ids[q])
+        gap = float(least[p])
+        height[node] = gap / 2 if method in ("average", "weighted") else gap
         t.left[node], t.right[node] = a, b
         t.size[node] = t.size[a] + t.size[b]
         for c in (a, b):
             t.parent[c] = node
             t.length[c] = float(height[node] - height[c])
-        for x in slots:
-            if x in (a, b):
-                continue
-            da, db = (full[min(c, x), max(c, x)] for c in (a, b))
-            full[x, node] = {"average": (t.size[a] * da + t.size[b] * db) / t.size[node], "weighted": (da + db) / 2, "single": min(da, db), "complete": max(da, db)}[method]
-        slots = [x for x in slots if x not in (a, b)] + [node]
+        da, db = dist[p], dist[q]
+        merged = {"average": lambda: (t.size[a] * da + t.size[b] * db) / t.size[node], "weighted": lambda: (da + db) / 2, "single": lambda: np.minimum(da, db), "complete": lambda: np.maximum(da, db)}[method]()
+        dist[p], dist[:, p] = merged, merged
+        ids[p], ids[q], least[q] = node, -1, np.inf
+        for r in np.flatnonzero(ids >= 0):
+            if r == p or near[r] in (p, q):
+                look(r)
+            elif dist[r, p] < least[r]:  # the new node is the largest: it wins only if it is nearer
+                near[r], least[r] = p, dist[r, p]
     return t
 
 
@@ -215,6 +236,88 @@ def grouped_trees(d: DataFrame, method: str = "average") -> DataFrame:
     return d.select("msa_id", "i", "j", "d").groupBy("msa_id").applyInPandas(run, NODE)
 
 
+def _of_rows(f: pd.DataFrame) -> Tree:
+    f = f.sort_values("node")
+    lists = [f[c].tolist() for c in ("parent", "left", "right", "branch_length", "size")]
+    return Tree(*lists, f["name"].dropna().tolist())
+
+
+def _each(nodes: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of each tree of NODE rows, one held at a time: rows after the tree's number."""
+
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in make(_of_rows(f))], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return nodes.groupBy("tree_id").applyInPandas(run, schema)
+
+
+def newick_text(nodes: DataFrame) -> DataFrame:
+    """(tree_id, value)."""
+    return _each(nodes, lambda t: [(newick(t),)], "tree_id long, value string")
+
+
+def read_newick(texts: DataFrame) -> DataFrame:
+    """NODE rows of (tree_id, value)."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([r for key, text in zip(f["tree_id"], f["value"]) for r in parse_newick(text).rows(key)], columns=[c.split()[0] for c in NODE.split(", ")])
+
+    return texts.select("tree_id", "value").mapInPandas(run, NODE)
+
+
+def path_lengths(nodes: DataFrame) -> DataFrame:
+    """(tree_id, a, b, d): the path between every two leaves, a < b by name."""
+
+    def make(t: Tree):
+        d = t.distances()
+        return [(*sorted((t.names[i], t.names[j])), float(d[i, j])) for i in range(t.leaves) for j in range(i)]
+
+    return _each(nodes, make, "tree_id long, a string, b string, d double")
+
+
+def all_valid(nodes: DataFrame) -> DataFrame:
+    """(tree_id, is_valid)."""
+    return _each(nodes, lambda t: [(t.valid(),)], "tree_id long, is_valid boolean")
+
+
+def all_same(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
+    """(tree_id, is_same): whether the trees of one number have the same clades, lengths within ``tolerance``."""
+
+    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], len(x) > 0 and len(y) > 0 and _of_rows(x).same(_of_rows(y), tolerance))], columns=["tree_id", "is_same"])
+
+    return a.groupBy("tree_id").cogroup(b.groupBy("tree_id")).applyInPandas(run, "tree_id long, is_same boolean")
+
+
+def simulated(spark, trees: int, leaves: int, seed: int) -> DataFrame:
+    """NODE rows of ``trees`` random trees, each from a seed of its own."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([r for i in f["id"] for r in simulate(leaves, seed * 1_000_003 + int(i)).rows(int(i))], columns=[c.split()[0] for c in NODE.split(", ")])
+
+    return spark.range(trees).mapInPandas(run, NODE)
+
+
+def merges(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, height, left, right): of each inner node the height over its leaves, and the leaves under its
+    two children as (name, share), a share being halved at each node between."""
+
+    def make(t: Tree):
+        below: list[list[tuple[str, float]]] = [[(x, 1.0)] for x in t.names]
+        height = [0.0] * len(t.parent)
+        for node in range(t.leaves, len(t.parent)):
+            a, b = t.children(node)
+            height[node] = height[a] + t.length[a]
+            below.append([(x, s / 2) for x, s in below[a] + below[b]])
+        side = lambda c: [{"name": x, "share": s} for x, s in below[c]]
+        return [(node, height[node], side(t.left[node]), side(t.right[node])) for node in range(t.leaves, len(t.parent))]
+
+    leaves = "array<struct<name:string,share:double>>"
+    return _each(nodes, make, f"tree_id long, node long, height double, left {leaves}, right {leaves}")
+
+
 def leaf_depths(nodes: DataFrame) -> DataFrame:
     """(tree_id, name, depth): length from the root to each leaf, by doublings of the parent links until no
     node has an ancestor left, each a join on (tree_id, node). Tables are cut by checkpoint() where a

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA
-from ..operators import alignment, clusters, pairs
+from ..operators import alignment, clusters, markup, pairs
 from .inputs import LENGTH, frame, oracle
 
 QUERIES, SQL = {}, {}
@@ -108,19 +108,79 @@ def _(spark, d):
     return alignment.guess(frame(spark, d, "msa"))
 
 
-@query("bootstrap_columns")
+def _columns(rows):
+    """(msa_id, col, text): each column from the first row to the last."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "symbol"))), lambda z: z["symbol"]), "")
+    return alignment.cells(rows).groupBy("msa_id", "col").agg(text.alias("text"))
+
+
+_COLUMNS = ", t as (select msa_id, col, string_agg(x, '' order by idx) as text from cell group by all)"
+
+
+@query("bootstrap_columns", over_cells("msa", "select msa_id, count(*) as columns, 0::bigint as strangers from t group by msa_id", _COLUMNS))
+def _(spark, d):
+    """How many columns there are, and how many that the alignment does not have."""
+    rows = frame(spark, d, "msa")
+    known = _columns(rows).select("msa_id", "text").distinct().withColumn("known", F.lit(1))
+    drawn = _columns(alignment.resample_columns(rows, 1, True)).join(known, ["msa_id", "text"], "left")
+    return drawn.groupBy("msa_id").agg(F.count(F.lit(1)).alias("columns"), F.sum(F.col("known").isNull().cast("bigint")).alias("strangers"))
+
+
+@query("shuffle_columns", over_cells("msa", "select msa_id, array_to_string(list_sort(list(text)), ',') as columns from t group by msa_id", _COLUMNS))
 def _(spark, d):
-    return alignment.resample_columns(frame(spark, d, "msa"), 1, True).select("msa_id", "idx", "aln")
+    """The alignment's columns, in order of text."""
+    return _columns(alignment.resample_columns(frame(spark, d, "msa"), 1, False)).groupBy("msa_id").agg(F.array_join(F.sort_array(F.collect_list("text")), ",").alias("columns"))
 
 
-@query("shuffle_columns")
+@query("shuffle_within_columns", over_cells("msa", "select msa_id, col::int as col, string_agg(x, '' order by x) as symbols from cell group by all"))
 def _(spark, d):
-    return alignment.resample_columns(frame(spark, d, "msa"), 1, False).select("msa_id", "idx", "aln")
+    """Each column's symbols, in order."""
+    cells = alignment.cells(alignment.shuffle_within_columns(frame(spark, d, "msa"), 1))
+    return cells.groupBy("msa_id", "col").agg(F.array_join(F.sort_array(F.collect_list("symbol")), "").alias("symbols"))
 
 
-@query("shuffle_within_columns")
+@query("row_numbers", oracle("msa", sql="select msa_id, count(*) as n, max(idx) as idx, 1.0::double as weight from msa group by msa_id"))
 def _(spark, d):
-    return alignment.shuffle_within_columns(frame(spark, d, "msa"), 1).select("msa_id", "idx", "aln")
+    """Rows of each alignment, the place of its last name, and the weight that rows have if none are given."""
+    rows = alignment.default_weights(frame(spark, d, "msa"))
+    last = rows.groupBy("msa_id").agg(F.max_by("name", "idx").alias("name"), F.max("weight").alias("weight"))
+    both = last.join(alignment.by_name(rows), "msa_id").join(alignment.row_count(rows), "msa_id")
+    return both.select("msa_id", "n", F.element_at("rows", F.col("name")).alias("idx"), "weight")
+
+
+_RF = "....xxxx~~~~" + "x" * 20
+
+
+@query("flush_left_inserts", oracle("msa", sql="select msa_id, idx, regexp_replace(substring(aln, 1, 4), '-', '', 'g') || regexp_replace(substring(aln, 1, 4), '[^-]', '', 'g') || substring(aln, 5, 4) || regexp_replace(substring(aln, 9, 4), '-', '', 'g') || regexp_replace(substring(aln, 9, 4), '[^-]', '', 'g') || substring(aln, 13) as aln from msa"))
+def _(spark, d):
+    return frame(spark, d, "msa").select("msa_id", "idx", alignment.flush_left("aln", _RF).alias("aln"))
+
+
+@query("broken_pairs", oracle("msa", sql="select msa_id, idx, case when idx % 2 = 0 then '<<....>>' when idx % 3 = 0 then '<......>' else '.<....>.' end as ss from msa"))
+def _(spark, d):
+    """A structure line when every column stays, when the second goes, or when the last does."""
+    flags = lambda *gone: F.array(*(F.lit(i not in gone) for i in range(8)))
+    keep = F.when(F.col("idx") % 2 == 0, flags()).when(F.col("idx") % 3 == 0, flags(1)).otherwise(flags(7))
+    return frame(spark, d, "msa").select("msa_id", "idx", F.lit("<<....>>").alias("line"), keep.alias("keep")).select("msa_id", "idx", alignment.without_broken_pairs("line", "keep").alias("ss"))
+
+
+def _markup(rows):
+    """No lines yet."""
+    return rows.sparkSession.createDataFrame([], markup.SCHEMA)
+
+
+@query("markup_edits", oracle("small_msa", sql="""select msa_id, 'gf' as kind, null::varchar as name, 'AU' as tag, 'second' as text, 1::bigint as place from small_msa group by msa_id union all select msa_id, 'gf', null, 'CC', 'a remark', 2 from small_msa group by msa_id
+    union all select msa_id, 'gs', name, 'AC', 'P' || idx, 2 + row_number() over (partition by msa_id order by name) from small_msa union all select msa_id, 'gr', name, 'SS', repeat('.', 32), 2 + count(*) over (partition by msa_id) + row_number() over (partition by msa_id order by name) from small_msa
+    union all select msa_id, 'gc', null, 'RF', repeat('x', 32), 3 + 2 * count(*) from small_msa group by msa_id"""))
+def _(spark, d):
+    """An author set twice, a remark, and then an accession, a structure and column marks."""
+    rows = frame(spark, d, "small_msa")
+    m = markup.set_of_alignments(_markup(rows), rows, markup.IDENTIFIER, "family")
+    m = markup.set_of_alignments(markup.set_of_alignments(m, rows, markup.AUTHOR, "first"), rows, markup.AUTHOR, "second")
+    m = markup.add_to_alignments(m, rows, "CC", "a remark")
+    m = markup.set_of_rows(m, rows, markup.ACCESSION, F.concat(F.lit("P"), F.col("idx").cast("string")))
+    m = markup.set_of_residues(m, rows, markup.STRUCTURE, "." * LENGTH)
+    return markup.add_to_columns(m, rows, "RF", "x" * LENGTH).where("tag <> 'ID'")
 
 
 _PAIR = """, r as (select msa_id, idx, aln, length(regexp_replace(aln, '[-*~]', '', 'g')) as n from {0}),
@@ -169,9 +229,18 @@ def _(spark, d):
     return a.select("msa_id", "n_pairs", *(F.round(c, 6).alias(c) for c in ("avg_identity", "avg_match", "connectivity")))
 
 
-@query("pair_averages_sampled")
+@query("pair_averages_sampled", over_pairs("msa", f"select msa_id, count(*) as n_pairs, round(avg(pid), 6) as avg_identity, round(avg(pm), 6) as avg_match, round(avg((pid >= 0.6)::int), 6) as connectivity from q where ((msa_id * 16807 + i * 48271 + j * 69621 + 42) % {pairs._PRIME} * 48271 + 11) % {pairs._PRIME} * 69621 % {pairs._PRIME} < {int(0.2 * pairs._PRIME)} group by msa_id"))
+def _(spark, d):
+    a = pairs.averages(frame(spark, d, "msa"), DNA, LENGTH, 0.6, sample=0.2)
+    return a.select("msa_id", "n_pairs", *(F.round(c, 6).alias(c) for c in ("avg_identity", "avg_match", "connectivity")))
+
+
+@query("cluster_counts", over_pairs("small_msa", "select msa_id, count(distinct root) as n from c group by msa_id", """, link as (select msa_id, i, j from q where 1 - pid <= 0.4 union all select msa_id, j, i from q where 1 - pid <= 0.4),
+reach as (select msa_id, idx, idx as root from small_msa union select l.msa_id, l.j, r.root from reach r join link l on l.msa_id = r.msa_id and l.i = r.idx), c as (select msa_id, idx, min(root) as root from reach group by all)""").replace("with ", "with recursive ", 1))
 def _(spark, d):
-    return pairs.averages(frame(spark, d, "msa"), DNA, LENGTH, 0.6, sample=0.2)
+    """Of rows linked by their distances."""
+    rows = frame(spark, d, "small_msa")
+    return clusters.count(clusters.by_distance(rows, pairs.distances(rows, DNA, LENGTH), 0.4))
 
 
 _ROOTS = """, link as (select msa_id, i, j from q where pid >= 0.7 union all select msa_id, j, i from q where pid >= 0.7),
@@ -198,14 +267,17 @@ def _(spark, d):
     return w.select("msa_id", "idx", F.round("weight", 6).alias("weight"))
 
 
-@query("identity_filter")
+@query("identity_filter", over_pairs("small_msa", "select msa_id, idx, list_contains(kept, idx) as kept from w join (select msa_id as m, kept from f where k = n) on m = msa_id", """, near as (select msa_id, j as idx, list(i) as before from q where pid >= 0.7 group by all),
+w as (select s.msa_id, s.idx, coalesce(before, []) as before, row_number() over (partition by s.msa_id order by s.idx) as r, count(*) over (partition by s.msa_id) as n from small_msa s left join near on near.msa_id = s.msa_id and near.idx = s.idx),
+f as (select distinct msa_id, 0::bigint as k, n, []::bigint[] as kept from w union all select f.msa_id, k + 1, f.n, case when list_has_any(before, kept) then kept else list_append(kept, w.idx) end from f join w on w.msa_id = f.msa_id and w.r = k + 1)""").replace("with ", "with recursive ", 1))
 def _(spark, d):
     return clusters.filter_by_identity(frame(spark, d, "small_msa"), DNA, 0.7)
 
 
-@query("tree_weights")
+@query("tree_weights", oracle("small_msa", sql="select msa_id, count(*) as n, count(*)::double as total, true as positive from small_msa group by msa_id"))
 def _(spark, d):
-    return clusters.tree_weights(frame(spark, d, "small_msa"), DNA)
+    w = clusters.tree_weights(frame(spark, d, "small_msa"), DNA)
+    return w.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"), (F.min("weight") >= 0).alias("positive"))
 
 
 @query("msa_checksum", over_cells("small_msa", """select msa_id, ((h3 + (h3 << 15)) & 4294967295)::bigint as checksum from (select msa_id, xor(h2, h2 >> 11) as h3 from (select msa_id, (h + (h << 3)) & 4294967295 as h2 from (

@@ -137,7 +137,13 @@ def _(spark, d):
     return codon.three_frames(frame(spark, d, "seqs"), "seq").select("id", "frame", "protein")
 
 
-@query("translate_ambiguous")
+_AA_OF = _AA.replace("{s}", "{s}").format(s="codon").replace("codon, i + 1", "codon, 2").replace("codon, i + 2", "codon, 3").replace("codon, i,", "codon, 1,")
+_READINGS = ", ".join(f"('{s}', '{b}')" for s, m in zip(DNA.symbols, DNA.members) for b in m)
+
+
+@query("translate_ambiguous", oracle("mixed", sql=f""", sym(s, b) as (values {_READINGS}), cod as (select id, k, substring(seq, k * 3 + 1, 3) as c from (select id, seq, unnest(range(0, length(seq) // 3))::int as k from mixed)),
+    readings as (select id, k, a.b || y.b || z.b as codon from cod join sym a on a.s = c[1] join sym y on y.s = c[2] join sym z on z.s = c[3]), aas as (select id, k, count(distinct {_AA_OF}) as n, min({_AA_OF}) as aa from readings group by all)
+    select id, string_agg(case when n = 1 then aa else 'X' end, '' order by cod.k) as protein from cod left join aas using (id, k) group by id""").replace(") , sym", "), sym"))
 def _(spark, d):
     return frame(spark, d, "mixed").select("id", codon.translate("seq", codon.CODES[11]).alias("protein"))
 
@@ -148,7 +154,12 @@ def _(spark, d):
     return codon.CODES[1].table(spark)
 
 
-@query("open_reading_frames")
+@query("open_reading_frames", oracle("seqs", sql=f""", s as (select id, seq, 'forward' as strand from seqs union all select id, reverse(translate(seq, 'ACGT', 'TGCA')), 'reverse' from seqs),
+    c as (select id, strand, f as frame, k, length(seq) as n, f + 3 * k as pos, substring(seq, f + 3 * k + 1, 3) as codon from (select *, unnest(range(0, (length(seq) - f) // 3))::int as k from s, (select unnest([0, 1, 2])::int as f))),
+    a as (select *, {_AA_OF} as aa from c), g as (select *, coalesce(sum((aa = '*')::int) over (partition by id, strand, frame order by k rows between unbounded preceding and 1 preceding), 0) as seg from a),
+    w as (select *, min(case when codon in ('ATG', 'CTG', 'TTG') then k end) over (partition by id, strand, frame, seg) as k0 from g),
+    o as (select id, strand, frame, (k0 * 3 + frame)::int as begins, 'M' || coalesce(string_agg(aa, '' order by k) filter (k > k0 and aa <> '*'), '') as protein, coalesce(max(case when aa = '*' then pos + 3 end), any_value(n))::int as ends, any_value(n)::int as n from w where k0 is not null group by id, strand, frame, seg, k0)
+    select id, begins as start, ends as "end", frame, strand, protein, case when strand = 'forward' then begins else n - ends end as forward_start, case when strand = 'forward' then ends else n - begins end as forward_end from o where length(protein) >= 8""").replace(") , s as", "), s as"))
 def _(spark, d):
     return codon.find_orfs(frame(spark, d, "seqs"), "id", "seq", shortest=8)
 
@@ -170,6 +181,41 @@ def _(spark, d):
     return files.fasta_text(frame(spark, d, "seqs").select("name", "seq"))
 
 
+@query("residue_codes", oracle("mixed", sql="select id, len(list_filter(string_split(seq, ''), lambda c: c not in ('-', '*', '~'))) as residues, 4 as gap, 15 as unknown from mixed"))
+def _(spark, d):
+    codes = frame(spark, d, "mixed").select("id", DNA.digitize("seq").alias("c"))
+    return codes.select("id", F.size(F.filter("c", DNA.is_residue)).cast("bigint").alias("residues"), F.lit(DNA.symbols.index(DNA.gap)).alias("gap"), F.lit(DNA.symbols.index(DNA.unknown)).alias("unknown"))
+
+
+@query("degenerate_scores", "select [1.0, 2.0, 4.0, 8.0, 0.0, 2.5, 5.0, 1.5, 6.0, 3.0, 4.5, 3.667, 4.667, 2.333, 4.333, 3.75, 0.0, 0.0]::double[] as average, [1.0, 2.0, 4.0, 8.0, 0.0, 3.25, 6.0, 1.667, 6.286, 3.2, 6.6, 5.286, 5.333, 2.833, 5.625, 4.9, 0.0, 0.0]::double[] as expected")
+def _(spark, d):
+    """The vector of all symbols' scores from those of A, C, G and T, in order of code."""
+    scores, p = F.array(*map(F.lit, (1.0, 2.0, 4.0, 8.0))), F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4)))
+    short = lambda v: F.transform(v, lambda x: F.round(x, 3))
+    return spark.range(1).select(short(DNA.fill_scores(scores)).alias("average"), short(DNA.fill_scores(scores, p)).alias("expected"))
+
+
+@query("genetic_codes", "select unnest([1, 2, 6, 7]) as id, unnest([true, true, true, false]) as known, unnest([61, 60, 63, 0]) as any_starts, unnest(['ATG', 'ATG', 'ATG', '']) as only_start, unnest(['*', 'W', '*', '']) as tga")
+def _(spark, d):
+    found = [(i, codon.by_id(i)) for i in (1, 2, 6, 7)]
+    return spark.createDataFrame([(i, c is not None, len(c.any_start().starts) if c else 0, ",".join(c.only_atg().starts) if c else "", c.amino["TGA"] if c else "") for i, c in found], "id int, known boolean, any_starts int, only_start string, tga string")
+
+
+@query("sequence_records", oracle("seqs", sql="select id, name, seq, 'AC' || id as accession, upper(name) as description, 'table' as source, id % 2 = 0 as same, length(seq)::int + 4 as n from seqs"))
+def _(spark, d):
+    """Records with every field set, compared with themselves under another name for odd ids, and lengthened."""
+    s = frame(spark, d, "seqs")
+    full = s.select("id", sequence.record("name", "seq", accession=F.concat(F.lit("AC"), F.col("id").cast("string")), description=F.upper("name"), source=F.lit("table")).alias("a"), sequence.record(F.when(F.col("id") % 2 == 0, F.col("name")).otherwise("other"), "seq").alias("b"))
+    longer = F.size(sequence.appended(DNA, DNA.digitize("a.seq"), F.lit("acgu")))
+    return full.select("id", "a.*", sequence.same("a", "b").alias("same"), longer.alias("n"))
+
+
+@query("text_lines", "select doc_id, case when length(t) = 0 then 0 else len(string_split(regexp_replace(t, '\\n$', ''), chr(10))) end::int as n, string_split(regexp_replace(t, '\\n$', ''), chr(10))[2] as second from (select doc_id, coalesce(text, '') as t from documents)")
+def _(spark, d):
+    t = frame(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return t.select("doc_id", sequence.line_count("t").cast("int").alias("n"), sequence.line_at("t", 1).alias("second"))
+
+
 @query("gap_free_symbols", "select unnest(['dna', 'rna', 'amino']) as name, unnest([15, 15, 26])::int as n_residue_symbols")
 def _(spark, d):
     return spark.createDataFrame([(a.name, len(a.residues)) for a in ALPHABETS.values()], "name string, n_residue_symbols int")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import wuss
 from ..functions.alphabet import DNA
 from ..operators import graphs, pairs, tree
+from .alignments import _PAIR
 from .inputs import LENGTH, frame, oracle
 
 QUERIES, SQL = {}, {}
@@ -49,10 +51,12 @@ def _(spark, d):
     return structures(spark, d).select("id", wuss.to_simple(wuss.partners("ss")).alias("simple"))
 
 
-@query("wuss_rewritten")
+@query("wuss_rewritten", f"with {_S} select id, true as brackets, true as letters, true as whole from s")
 def _(spark, d):
+    """Whether each way to write the pairs is read as the same pairs."""
     p = structures(spark, d).withColumn("p", wuss.partners("ss"))
-    return p.select("id", wuss.to_brackets("p").alias("brackets"), wuss.to_letters("p").alias("letters"), wuss.to_full("p").alias("full"))
+    text = p.select("id", "p", wuss.to_brackets("p").alias("b"), wuss.to_letters("p").alias("l"), wuss.to_full("p").alias("f"))
+    return text.select("id", *((wuss.partners(c) == F.col("p")).alias(n) for c, n in (("b", "brackets"), ("l", "letters"), ("f", "whole"))))
 
 
 # Links: orders of one customer segment whose keys are neighbours in a small ring of each customer group.
@@ -99,32 +103,117 @@ def _(spark, d):
     return graphs.inside_links(links(spark, d), sides).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("greedy_independent_set")
+@query("independent_pair", "select 0::bigint as crossing, 0::bigint as open, true as larger_first")
 def _(spark, d):
-    return graphs.greedy_independent_set(vertices(spark, d), links(spark, d))
+    """Links between the two sides, vertices that could still join one, and whether side 1 is the larger."""
+    v, e = vertices(spark, d), links(spark, d)
+    return _pair_checks(e, graphs.independent_pair(v, e))
+
+
+def _pair_checks(e, sides):
+    near = graphs.both_ways(e).join(sides.select("g", F.col("i").alias("j"), F.col("side").alias("sj")), ["g", "j"]).groupBy("g", "i").agg(F.max((F.col("sj") == 1).cast("int")).alias("by_one"), F.max((F.col("sj") == 2).cast("int")).alias("by_two"))
+    left = sides.where("side = 0").join(near, ["g", "i"], "left").where("coalesce(by_one, 0) = 0 or coalesce(by_two, 0) = 0")
+    sizes = sides.groupBy("g").agg(F.sum((F.col("side") == 1).cast("int")).alias("n1"), F.sum((F.col("side") == 2).cast("int")).alias("n2")).agg(F.min(F.col("n1") >= F.col("n2")).alias("larger_first"))
+    crossing = graphs.crossing_links(e, sides.where("side > 0")).agg(F.count(F.lit(1)).alias("crossing"))
+    return crossing.crossJoin(left.agg(F.count(F.lit(1)).alias("open"))).crossJoin(sizes).select("crossing", "open", "larger_first")  # one row each
+
+
+@query("greedy_independent_set", "select 0::bigint as inside, 0::bigint as open")
+def _(spark, d):
+    """Links within the set, and vertices that could still join it."""
+    v, e = vertices(spark, d), links(spark, d)
+    s = graphs.greedy_independent_set(v, e)
+    inside = graphs.inside_links(e, s.where("label = 1"), "label").agg(F.count(F.lit(1)).alias("inside"))
+    near = graphs.both_ways(e).join(s.where("label = 1").select("g", F.col("i").alias("j")), ["g", "j"], "left_semi").select("g", "i").distinct()
+    left = s.where("label = 0").join(near, ["g", "i"], "left_anti").agg(F.count(F.lit(1)).alias("open"))
+    return inside.crossJoin(left)  # one row each
 
 
-@query("greedy_bipartite_split")
+@query("greedy_bipartite_split", "select 0::bigint as crossing, 0::bigint as open, true as larger_first")
 def _(spark, d):
-    return graphs.greedy_bipartite_split(vertices(spark, d), links(spark, d))
+    v, e = vertices(spark, d), links(spark, d)
+    return _pair_checks(e, graphs.greedy_bipartite_split(v, e).withColumnRenamed("label", "side"))
+
 
+def _relabel_rounds(n: int) -> str:
+    rounds = [f"a0 as (select g, i, true as a from v), b as (select g, i, j from l union select g, j, i from l)"]  # noqa: F541
+    for k in range(n):
+        rounds.append(f"c{k} as (select x.g, x.i, count(*) as near, count(*) filter (x.a = y.a) as own from a{k} x join b on b.g = x.g and b.i = x.i join a{k} y on y.g = b.g and y.i = b.j group by all)")
+        rounds.append(f"a{k + 1} as (select a{k}.g, a{k}.i, case when 2 * coalesce(own, 0) > coalesce(near, 0) then not a else a end as a from a{k} left join c{k} on c{k}.g = a{k}.g and c{k}.i = a{k}.i)")
+    return ", ".join(rounds)
 
-@query("relabel_split")
+
+@query("relabel_split", f"with {_VERTEX}, {_LINK}, {_relabel_rounds(10)} select g, i, a::int as in_a from a10")
 def _(spark, d):
     return graphs.relabel_split(vertices(spark, d), links(spark, d))
 
 
-@query("bipartite_matching")
+@query("bipartite_matching", f"with {_VERTEX}, {_LINK}, x as (select distinct g, i from l) select g, count(*) as n, true as linked, true as apart, true as maximal from x group by g")
+def _(spark, d):
+    """Whether mates are linked and no two share one, and whether every link has an end that is matched."""
+    e = links(spark, d)
+    m = graphs.matching(e)
+    mates = m.where("mate is not null").select("g", "i", F.col("mate").alias("j"))
+    strange = mates.join(e, ["g", "i", "j"], "left_anti").groupBy("g").agg(F.lit(False).alias("bad"))
+    free = e.join(mates.select("g", "i"), ["g", "i"], "left_anti").join(mates.select("g", "j"), ["g", "j"], "left_anti").select("g").distinct().withColumn("free", F.lit(True))
+    own = m.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.count("mate") == F.count_distinct("mate")).alias("apart"))
+    return own.join(strange, "g", "left").join(free, "g", "left").select("g", "n", F.col("bad").isNull().alias("linked"), "apart", F.col("free").isNull().alias("maximal"))
+
+
+@query("matching_size", "select g, least(n, m) as n from (select s_nationkey::bigint as g, count(*) filter (s_suppkey % 2 = 0) as n, count(*) filter (s_suppkey % 2 = 1) as m from supplier group by 1) where least(n, m) > 0")
 def _(spark, d):
-    return graphs.matching(links(spark, d))
+    """Of all even vertices linked with all odd ones, as many as the fewer of the two."""
+    v = vertices(spark, d)
+    whole = v.where("i % 2 = 0").join(v.where("i % 2 = 1").withColumnRenamed("i", "j"), "g").select("g", "i", "j")
+    return graphs.matching_size(graphs.matching(whole))
 
 
 def _trees(spark, d, method):
     return tree.grouped_trees(pairs.distances(frame(spark, d, "small_msa"), DNA, LENGTH), method)
 
 
+_TREES = "select s_nationkey::bigint as tree_id, count(*) - 1 as merges, true as exact, true as rising from supplier group by 1 having count(*) > 1"
+
+
+def _merge_checks(spark, d, method):
+    """Whether each inner node lies at the height that its linkage gives to the leaves under its two children, and
+    no node under an earlier one."""
+    dist = pairs.distances(frame(spark, d, "small_msa"), DNA, LENGTH)
+    both = dist.unionByName(dist.select("msa_id", F.col("j").alias("i"), F.col("i").alias("j"), "d")).select(F.col("msa_id").alias("tree_id"), F.col("i").cast("string").alias("a"), F.col("j").cast("string").alias("b"), "d")
+    m = tree.merges(tree.grouped_trees(dist, method))
+    cells = m.select("tree_id", "node", "height", F.explode("left").alias("x"), "right").select("tree_id", "node", "height", "x", F.explode("right").alias("y"))
+    cells = cells.select("tree_id", "node", "height", F.col("x.name").alias("a"), F.col("y.name").alias("b"), (F.col("x.share") * F.col("y.share")).alias("w")).join(both, ["tree_id", "a", "b"])
+    wanted = {"average": F.avg("d") / 2, "weighted": F.sum(F.col("w") * F.col("d")) / 2, "single": F.min("d"), "complete": F.max("d")}[method]
+    each = cells.groupBy("tree_id", "node").agg(F.first("height").alias("height"), wanted.alias("wanted"))
+    before = F.lag("height").over(Window.partitionBy("tree_id").orderBy("node"))
+    each = each.withColumn("before", before)
+    return each.groupBy("tree_id").agg(F.count(F.lit(1)).alias("merges"), (F.max(F.abs(F.col("height") - F.col("wanted"))) < 1e-9).alias("exact"), F.min(F.coalesce(F.col("height") >= F.col("before") - 1e-12, F.lit(True))).alias("rising"))
+
+
 for _method in ("average", "weighted", "single", "complete"):
-    QUERIES[f"tree_{_method}"] = lambda spark, d, m=_method: _trees(spark, d, m)
+    query(f"tree_{_method}", _TREES)(lambda spark, d, m=_method: _merge_checks(spark, d, m))
+
+
+@query("tree_text", "select s_nationkey::bigint as tree_id, true as is_same, true as is_valid from supplier group by 1 having count(*) > 1")
+def _(spark, d):
+    """Trees written as text and read again."""
+    nodes = _trees(spark, d, "average")
+    back = tree.read_newick(tree.newick_text(nodes))
+    return tree.all_same(nodes, back, 1e-12).join(tree.all_valid(back), "tree_id")
+
+
+@query("tree_paths", oracle("small_msa", sql=_PAIR.format("small_msa") + """, e as (select msa_id, i, j, 1 - pid as d from q union all select msa_id, j, i, 1 - pid from q),
+    reach as (select msa_id, i, j, d from e union select r.msa_id, r.i, e.j, greatest(r.d, e.d) from reach r join e on e.msa_id = r.msa_id and e.i = r.j and e.j <> r.i)
+    select msa_id as tree_id, least(i::varchar, j::varchar) as a, greatest(i::varchar, j::varchar) as b, round(2 * min(d), 6) as d from reach where i < j group by all""").replace(") , r as", "), r as").replace("with ", "with recursive ", 1))
+def _(spark, d):
+    """Between leaves of single linkage, twice the least distance at which a chain links them."""
+    return tree.path_lengths(_trees(spark, d, "single")).select("tree_id", "a", "b", F.round("d", 6).alias("d"))
+
+
+@query("tree_simulated", "select unnest(range(0, 20))::bigint as tree_id, 30::bigint as leaves, true as is_valid")
+def _(spark, d):
+    nodes = tree.simulated(spark, 20, 30, 4)
+    return nodes.where("name is not null").groupBy("tree_id").agg(F.count(F.lit(1)).alias("leaves")).join(tree.all_valid(nodes), "tree_id")
 
 
 @query("tree_sizes_agree", "select s_nationkey::bigint as tree_id, true as agree from supplier group by s_nationkey having count(*) > 1")
@@ -132,9 +221,11 @@ def _(spark, d):
     return tree.sizes_agree(_trees(spark, d, "average"))
 
 
-@query("tree_leaf_depths")
+@query("tree_leaf_depths", "select s_nationkey::bigint as tree_id, count(*) as leaves, 0.0::double as spread from supplier group by 1 having count(*) > 1")
 def _(spark, d):
-    return tree.leaf_depths(_trees(spark, d, "average"))
+    """Average linkage puts all leaves at one depth."""
+    depths = tree.leaf_depths(_trees(spark, d, "average"))
+    return depths.groupBy("tree_id").agg(F.count(F.lit(1)).alias("leaves"), (F.round(F.max("depth") - F.min("depth"), 6) + 0.0).alias("spread"))
 
 
 @query("tree_leaves", oracle("small_msa", sql="select msa_id as tree_id, count(*) as leaves from small_msa group by msa_id having count(*) > 1"))
