@@ -91,6 +91,8 @@ def band_keys(ranks: np.ndarray, bands: int = BANDS) -> np.ndarray:
 #: What a bucket with more than CROWD classes is split by: FINE keys of FINE_ROWS ranks each, drawn once.
 CROWD, FINE, FINE_ROWS = 4096, 70, 6
 _FINE = np.stack([np.random.default_rng([5, i]).choice(BANDS * ROWS, FINE_ROWS, replace=False) for i in range(FINE)])
+#: Rows of a class that are looked up instead of dealt out, at least; and how many such classes there may be.
+HOT_ROWS, HOT_CLASSES = 1000, 100_000
 #: Share of equal ranks under which a pair is not verified: 5 deviations under PERCENT at 160 ranks.
 LEAST_SHARE = 0.58
 
@@ -147,46 +149,83 @@ def _mixed(members: DataFrame, least: int = 2) -> DataFrame:
     return members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo < hi and n >= {least}").select("b", "n")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list], np.ndarray]]:
+    """Streams (b, x, y, block, rep, c, crowds, ranks, ...) by b, x and y: each group's bucket, its rows from
+    ``block`` on, and which pairs of rows are candidates, as a matrix.
+
+    Candidates are classes of different components, one of block x and one of y (any two if x = y), that
+    first meet in this band, as far as bands go in which neither is in a crowded bucket (in fine buckets:
+    that meet in no such band), and that have LEAST_SHARE of their ranks equal.
+    """
+
+    def close(held, band, apart):
+        block, c, crowds = (np.array([h[i] for h in held], np.int64) for i in (0, 2, 3))
+        m = np.frombuffer(b"".join(h[4] for h in held), "<u2").reshape(len(held), -1)
+        open_ = (crowds[:, None] >> np.arange(BANDS) & 1) == 0
+        least, out = LEAST_SHARE * m.shape[1], np.zeros((len(held), len(held)), bool)
+        for i in range(len(held) - 1):
+            other = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & ((block[i + 1 :] != block[i]) | (not apart)))
+            same = m[other] == m[i]
+            near = same.sum(1) >= least
+            shared = same[near].reshape(-1, BANDS, ROWS).all(2) & open_[i]
+            out[i, other[near]] = shared.argmax(1) == band if band < BANDS else ~shared.any(1)
+        return out
+
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(col.to_pylist() for col in b.columns)):
+            if row[:3] != at:
+                if len(held) > 1:
+                    yield at[0], held, close(held, at[0] & 63, at[1] != at[2])
+                at, held = row[:3], []
+            held.append(row[3:])
+    if len(held) > 1:
+        yield at[0], held, close(held, at[0] & 63, at[1] != at[2])
+
+
+_RANKED = "b long, rep long, c long, crowds long, ranks binary"
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (b, rep, c, crowds, ranks) that are one of a candidate pair, never the pairs."""
+    for bucket, held, pairs in _groups(batches):
+        found = [held[i] for i in np.flatnonzero(pairs.any(0) | pairs.any(1))]
+        if found:
+            _, rep, c, crowds, ranks = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), *(pa.array(x, pa.int64()) for x in (rep, c, crowds)), pa.array(ranks, pa.binary())], names=["b", "rep", "c", "crowds", "ranks"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams (b, rep, c, ranks, text, crowds) by bucket: the links between its components. A pair is looked
-    at in the first band that it shares in no crowded bucket, in fine buckets only if it has none, if enough
-    of its ranks are equal, and then decided on full sets. What comes out is links, never candidates."""
-    bucket, held = None, []
-
-    def flush():
-        if len(held) < 2:
-            return
-        r, c = (np.array([h[i] for h in held]) for i in (0, 1))
-        m = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(len(held), -1)
+    """The links among the candidate pairs, decided on full sets. What comes out is links, never candidates."""
+    for _, held, pairs in _groups(batches):
         sets: dict[int, np.ndarray] = {}
-        open_ = (np.array([h[4] for h in held], np.int64)[:, None] >> np.arange(BANDS) & 1) == 0
-        least, u, v = LEAST_SHARE * m.shape[1], [], []
 
         def full(i):
             if i not in sets:
-                sets[i] = shingles(held[i][3])
+                sets[i] = shingles(held[i][5])
             return sets[i]
 
-        for i in range(len(r) - 1):
-            other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-            same = m[other] == m[i]
-            near = same.sum(1) >= least
-            shared = same.reshape(len(same), BANDS, ROWS).all(2) & open_[i]
-            near &= shared.argmax(1) == (bucket & 63) if (bucket & 63) < BANDS else ~shared.any(1)
-            for j in other[near].tolist():
-                if linked(full(i), full(j)):
-                    u.append(max(r[i], r[j]))
-                    v.append(min(r[i], r[j]))
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        found = [(held[i][1], held[j][1]) for i, j in zip(*np.nonzero(pairs)) if linked(full(i), full(j))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (max, min)], names=["u", "v"])
+
+
+#: What a task holds of one bucket at once: rows when ranks are compared, bytes of text when sets are.
+HELD_ROWS, HELD_BYTES = CROWD, 32 << 20
 
-    for b in batches:
-        for key, *row in zip(*(col.to_pylist() for col in b.columns)):
-            if key != bucket:
-                yield from flush()
-                bucket, held = key, []
-            held.append(row)
-    yield from flush()
+
+def _in_blocks(rows: DataFrame, weight, held: int, more: list[str], run, ddl: str) -> DataFrame:
+    """``run`` over the rows of each bucket b, a group of at most about ``held`` in ``weight`` at a time.
+
+    A heavier bucket is dealt into blocks by a hash of rep, and each two blocks x <= y are a group, so that
+    every pair of rows meets once whatever the bucket's size.
+    """
+    n = parts(rows.sparkSession)
+    blocks = rows.groupBy("b").agg(F.ceil(F.sum(weight) / held).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "b").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("b", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "c", "crowds", "ranks", *more)
+    return dealt.repartition(n, "b", "x", "y").sortWithinPartitions("b", "x", "y", "rep").mapInArrow(run, ddl)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -236,15 +275,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     compared, so a group of copies costs what one document does. In a band's bucket every class is a
     candidate of the smallest, the hub. A class is verified first against the hub it meets most often,
     then against its other hubs that are not yet in its component, and at last every two classes that
-    still share a bucket from different components and have LEAST_SHARE of their ranks in common. Crowded buckets, as a passage in many documents makes them, are split by longer keys
-    first; those decide the pairs that share crowded buckets only. So a link is missed only if chance keeps the pair's ranks apart. Empty texts are linked with nothing; rows without a doc_id are kept and
-    have no component; rows that share a doc_id count as one node.
+    still share a bucket from different components and have LEAST_SHARE of their ranks in common. Crowded
+    buckets, as a passage in many documents makes them, are split by longer keys first; those decide the
+    pairs that share crowded buckets only. So a link is missed only if chance keeps the pair's ranks apart.
+
+    Empty texts and null texts are linked with nothing; rows without a doc_id are kept and have no
+    component; rows that share a doc_id count as one node, repeated rows get equal verdicts; empty tables
+    give no rows. Texts are read whole whatever their length; only doc_id and text of ``docs`` are read.
     """
     sketch = materialize(sketches(docs), "sketch")
-    full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = sketch.select("doc_id", "version", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    reps = materialize(full.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "ranks").distinct(), "reps")
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    full = sketch.where(known)
+    classes = materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("ranks").alias("ranks")), "classes")
+    reps = classes.select("rep", "ranks").dropDuplicates(["rep", "ranks"])
     band = _keyed(reps, lambda ranks, _: band_keys(ranks), BANDS)
     hubs = band.groupBy("b").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("b", "hub")
     shared = materialize(band.join(hubs.hint("merge"), "b"), "shared")
@@ -276,17 +319,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fine = _keyed(crowded, _fine_keys, FINE, ", c long")
     fine = materialize(fine.join(_mixed(fine).select("b"), "b", "left_semi"), "fine")
     buckets = left.where(F.col("n") <= CROWD).select("b", "rep", "c").unionByName(fine)
-    bodies = texts.select(F.col("doc_id").alias("rep"), "text")
     crowds = left.where(F.col("n") > CROWD).groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("crowds"))  # the bands in which it is in a crowded bucket
-    loaded = buckets.join(reps, "rep").join(bodies, "rep").join(crowds, "rep", "left").select("b", "rep", "c", "ranks", "text", F.coalesce("crowds", F.lit(0)).alias("crowds"))
-    rest = materialize(loaded.repartition(parts(docs.sparkSession), "b").sortWithinPartitions("b", "rep").mapInArrow(_alike, "u long, v long").distinct(), "links")
+    ranked = buckets.join(reps, "rep").join(crowds, "rep", "left").select("b", "rep", "c", "ranks", F.coalesce("crowds", F.lit(0)).alias("crowds"))
+    chosen = materialize(_in_blocks(ranked, F.lit(1), HELD_ROWS, [], _promising, _RANKED).dropDuplicates(["b", "rep"]), "promising")
+    bodies = texts.select(F.col("doc_id").alias("rep"), "text")
+    loaded = chosen.join(bodies, "rep")
+    rest = materialize(_in_blocks(loaded, F.octet_length("text"), HELD_BYTES, ["text"], _alike, "u long, v long").distinct(), "links")
     if rest.limit(1).count():
         group = components(edges.unionByName(rest))
 
-    named = group.select(F.col("node").alias("rep"), "component")
-    out = members.join(named, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "version", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    # A class over ``hot`` rows is looked up in a table of at most HOT_CLASSES classes; only smaller ones meet their rows by an exchange.
+    found = classes.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    found = materialize(found, "found")
+    hot = max(HOT_ROWS, sketch.count() // HOT_CLASSES)
+    large = materialize(found.where(F.col("n") > hot).select("s1", "s2", F.col("component").alias("of")), "large")
+    rows = sketch.select("doc_id", "version", "n_shingles", "s1", "s2")
+    looked = rows.where(known).join(large, ["s1", "s2"], "left")
+    small = looked.where("of is null").drop("of").join(found.where(F.col("n") <= hot).select("s1", "s2", "component"), ["s1", "s2"])
+    every = small.unionByName(looked.where("of is not null").withColumnRenamed("of", "component")).unionByName(rows.where(~known).withColumn("component", F.col("doc_id")))
+    return every.select("doc_id", "version", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component"))).alias("kept"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
