@@ -152,19 +152,23 @@ class Alphabet:
         """Mean score over a code's members, weighted by their frequencies ``p``."""
         return self._weighted(code, scores, col(p))
 
+    def _mean(self, c: int, scores: Column, p: Column | None) -> Column:
+        """Of one symbol's members, weighted by ``p`` or equally; 0 without any."""
+        own = [self.symbols.index(x) for x in self.members[c]]
+        w = [F.lit(1.0) if p is None else F.element_at(p, i + 1) for i in own]
+        s = [F.element_at(scores, i + 1) for i in own]
+        return sum((a * b for a, b in zip(w[1:], s[1:])), w[0] * s[0]) / sum(w[1:], w[0]) if own else F.lit(0.0)
+
     def _weighted(self, code, scores, p):
         cases = None
-        for c, m in enumerate(self.members):
-            own = [self.symbols.index(x) for x in m]
-            w = [F.lit(1.0) if p is None else F.element_at(p, i + 1) for i in own]
-            s = [F.element_at(col(scores), i + 1) for i in own]
-            value = sum((a * b for a, b in zip(w[1:], s[1:])), w[0] * s[0]) / sum(w[1:], w[0]) if own else F.lit(0.0)
+        for c in range(self.kp):
+            value = self._mean(c, col(scores), p)
             cases = F.when(col(code) == c, value) if cases is None else cases.when(col(code) == c, value)
         return cases
 
     def fill_scores(self, scores: Column | str, p: Column | str | None = None) -> Column:
         """The Kp-vector of K scores: each degenerate code has its members' mean."""
-        return F.array(*(self._weighted(F.lit(c), scores, None if p is None else col(p)) for c in range(self.kp)))
+        return F.array(*(self._mean(c, col(scores), None if p is None else col(p)) for c in range(self.kp)))
 
     def match_table(self, p: list[float] | None = None) -> list[list[float]]:
         """Kp x Kp: the probability that two symbols stand for the same residue."""

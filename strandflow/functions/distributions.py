@@ -301,7 +301,7 @@ class Gamma:
             low, high = np.zeros(len(p)), np.full(len(p), max(shape, 1.0))
             while (short := special.gamma_p_q_all(shape, high)[0] < p).any():
                 high = np.where(short, high * 2, high)
-            for _ in range(100):
+            for _ in range(60):
                 middle = (low + high) / 2
                 under = special.gamma_p_q_all(shape, middle)[0] < p
                 low, high = np.where(under, middle, low), np.where(under, high, middle)

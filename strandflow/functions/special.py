@@ -58,7 +58,7 @@ def gamma_p_q(a: float, x: float) -> tuple[float, float]:
         d = 1 / (an * d + b or tiny)
         c = b + an / c or tiny
         h *= d * c
-        if abs(d * c - 1) < 1e-16:
+        if abs(d * c - 1) < 1e-15:
             break
     return 1 - front * h, front * h
 
@@ -98,7 +98,7 @@ def gamma_p_q_all(a: float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             d = 1 / np.where((t := an * d + b) == 0, tiny, t)
             c = np.where((t := b + an / c) == 0, tiny, t)
             h = h * (d * c)
-            if (np.abs(d * c - 1) < 1e-16).all():
+            if (np.abs(d * c - 1) < 1e-15).all():
                 break
         q[high] = front(y) * h
         p[high] = 1 - q[high]

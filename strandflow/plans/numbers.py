@@ -166,12 +166,12 @@ def _(spark, d):
     return statistics.tail_by_mass(grouped(spark, d), 0.05)
 
 
-@query("goodness_of_fit", f"""with {_S}, h as (select grp, floor(x / 100)::bigint as bin, count(*)::double as o from samples group by all), n as (select grp, sum(o) as n from h group by grp), e as (select grp, o, n * (exp(-0.002 * 100 * bin) - exp(-0.002 * 100 * (bin + 1))) as e from h join n using (grp)),
+@query("goodness_of_fit", f"""with {_S}, h as (select grp, floor(x / 100)::bigint as bin, count(*)::double as o from samples group by all), n as (select grp, sum(o) as n from h group by grp), e as (select grp, o, n * (exp(-0.02 * 100 * bin) - exp(-0.02 * 100 * (bin + 1))) as e from h join n using (grp)),
     s as (select grp, count(*)::int as bins, 2 * sum(o * ln(o / e)) as g, sum((o - e) ** 2 / e) as c, (count(*) - 1) / 2.0 as a from e group by grp)
     select grp, bins, round(g, 6) as g, abs(round(1 - list_sum(list_transform(range(0, 900), lambda k: exp((a + k) * ln(g / 2) - g / 2 - lgamma(a + k + 1.0::double)))), 6)) as g_p, round(c, 6) as chi2, abs(round(1 - list_sum(list_transform(range(0, 900), lambda k: exp((a + k) * ln(c / 2) - c / 2 - lgamma(a + k + 1.0::double)))), 6)) as chi2_p from s""")
 def _(spark, d):
     h = statistics.histogram(grouped(spark, d), 0.0, 100.0)
-    fit = statistics.goodness(h, lambda x: dist.Exponential.cdf(x, 0.0, 0.002), 0.0, 100.0)
+    fit = statistics.goodness(h, lambda x: dist.Exponential.cdf(x, 0.0, 0.02), 0.0, 100.0, least=0.0)
     return fit.select("grp", "bins", F.round("g", 6).alias("g"), F.abs(F.round("g_p", 6)).alias("g_p"), F.round("chi2", 6).alias("chi2"), F.abs(F.round("chi2_p", 6)).alias("chi2_p"))
 
 
