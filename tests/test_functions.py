@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandflow.functions import codecs, codon, distributions, sequence, special, wuss
+from strandflow.functions import codecs, codon, distributions, random, sequence, special, wuss
 from strandflow.functions.alphabet import AMINO, DNA, RNA, guess_type
-from strandflow.operators import clusters, codes, matrices, pairs, scores, statistics, tree
+from strandflow.operators import clusters, codes, graphs, matrices, ordering, pairs, scores, statistics, tree
 
 
 def one(spark, **columns):
@@ -212,3 +212,102 @@ def test_codes(spark):
     assert one(spark, x=codecs.elias_delta(F.lit(17))) == "001010001"
     for c in ([], [0], [3] * 15, [0, 1, 2, 3] * 10, [0, 17, 2], [1] * 16 + [9]):
         assert codes.unpack(codes.pack5(c)) == c and codes.unpack(codes.pack2(c)) == c
+
+
+def test_special_batches_and_columns(spark):
+    x = np.concatenate([np.linspace(0.01, 30, 400), [100.0, 1e3]])
+    assert special.erfc(np.array([-2.0, 0.0, 0.5, 6.0, np.inf])) == pytest.approx([math.erfc(v) for v in (-2, 0, 0.5, 6, math.inf)], rel=1e-12)
+    assert special.lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-13)
+    for a in (0.5, 3.0, 40.0):
+        assert special.gamma_p_q_all(a, x)[1] == pytest.approx([special.gamma_p_q(a, v)[1] for v in x], rel=1e-9, abs=1e-300)
+    assert np.isnan(special.gamma_p_q_all(1.0, np.array([np.nan]))[0][0])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for r in df.select("x", special.log_gamma_column("x").alias("l"), special.digamma_column("x").alias("d"), special.trigamma_column("x").alias("t")).collect():
+        assert (r.l, r.d, r.t) == (pytest.approx(math.lgamma(r.x), rel=1e-11, abs=1e-12), pytest.approx(special.digamma(r.x), rel=1e-11, abs=1e-12), pytest.approx(special.trigamma(r.x), rel=1e-10))
+
+
+def test_solvers_of_columns(spark):
+    r = one(spark, a=special.bisect_column(lambda y: y * y * y - 5.0, 0.0, 3.0), b=special.newton_column(lambda y: F.exp(y) - 3.0, lambda y: F.exp(y), F.lit(1.0)))
+    assert r == (pytest.approx(5 ** (1 / 3)), pytest.approx(math.log(3)))
+
+
+def test_random_columns(spark):
+    df = spark.range(20000).select("id", random.uniform(1, "id").alias("u"), random.gaussian(1, "id").alias("g"), random.gamma(1, "id", 3.0).alias("m"), random.gamma(1, "id", 0.4).alias("s"), random.choose(1, "id", [0.1, 0.9]).alias("c"), random.integer(1, "id", 7).alias("i"))
+    r = df.agg(F.avg("u"), F.avg("g"), F.stddev("g"), F.avg("m"), F.avg("s"), F.avg("c"), F.min("i"), F.max("i"), F.count_distinct("u")).first()
+    assert r[:6] == pytest.approx((0.5, 0.0, 1.0, 3.0, 0.4, 0.9), abs=0.04) and r[6:] == (0, 6, 20000)
+    assert [x.u for x in df.repartition(7).orderBy("id").limit(5).collect()] == [x.u for x in df.orderBy("id").limit(5).collect()]
+
+
+def test_fits_of_groups_without_one(spark):
+    """Constant groups, too few values and none over the cut are null beside a group that has a fit."""
+    rng = np.random.default_rng(2)
+    rows = [("ok", float(x)) for x in 5 + rng.gumbel(size=300)] + [("same", 2.0)] * 20 + [("one", 1.0), ("low", -50.0), ("low", -51.0), ("low", -52.5)]
+    df = spark.createDataFrame(rows, "grp string, x double")
+    for fit in (statistics.fit_gumbel(df), statistics.fit_gumbel_censored(df, 4.0), statistics.fit_gumbel_truncated(df, 4.0), statistics.fit_gamma(df, -100.0), statistics.fit_weibull(df), statistics.fit_gev(df)):
+        got = {r.grp: r.rate for r in fit.collect()}
+        assert set(got) == {"ok", "same", "one", "low"} and got["ok"] > 0 and got["same"] is None and got["one"] is None
+
+
+def test_largest_values_across_parts(spark):
+    """Ranks and tails of uneven, constant and infinite groups against a sort."""
+    rng = np.random.default_rng(9)
+    values = {"wide": np.concatenate([rng.random(3000), [1e9, 1e9, 5e8]]), "same": np.full(50, 3.0), "few": np.array([2.0]), "far": np.array([1.0, math.inf, 2.0, 2.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in values.items() for x in v] + [("wide", None)], "grp string, x double").repartition(5)
+    for rank in (0, 2, 40):
+        assert {r.grp: r.x for r in statistics.ranked(df, rank).collect()} == {g: sorted(v)[::-1][rank] for g, v in values.items() if len(v) > rank}
+    got = sorted((r.grp, r.place, r.x) for r in statistics.tail_by_mass(df, 0.3).collect())
+    assert got == sorted((g, i, x) for g, v in values.items() for i, x in enumerate(sorted(v)[len(v) - math.ceil(len(v) * 0.3) :]))
+    placed = sorted((r.grp, r.place, r.x) for r in statistics.sorted_data(df).collect())
+    assert placed == sorted((g, i, float(x)) for g, v in values.items() for i, x in enumerate(sorted(v)))
+
+
+def test_numbered_over_partitions(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, f"n{i}") for i in range(1000)], "k long, name string")
+    assert {(r.k, r.place) for r in ordering.numbered(df, ["k"], "place").collect()} == {(k, k) for k in range(1000)}
+    assert ordering.numbered(df.where("k < 0"), ["k"], "place").count() == 0
+    same = sorted(r.place for r in ordering.numbered(df.withColumn("g", F.lit(None).cast("string")), ["g", "k"], "place", within="g").collect())
+    assert same == list(range(1000))
+
+
+def test_pairs_in_blocks(spark):
+    texts = ["".join(np.random.default_rng(i).choice(list("ACG-"), 40)) for i in range(30)]
+    df = rows(spark, *texts)
+    whole, parts = (sorted(map(tuple, p.collect())) for p in (pairs.pairs(df, DNA, 40), pairs.pairs(df, DNA, 40, block_rows=4)))
+    assert whole == parts and len(whole) == 30 * 29 // 2
+
+
+def test_independent_pair(spark):
+    rng = np.random.default_rng(3)
+    links = sorted({(0, int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (150, 2)) if a != b}) + [(1, 0, 1)]
+    v = spark.createDataFrame([(0, i) for i in range(60)] + [(1, i) for i in range(3)], "g long, i long")
+    side = {(r.g, r.i): r.side for r in graphs.independent_pair(v, spark.createDataFrame(links, "g long, i long, j long")).collect()}
+    assert len(side) == 63 and all({side[g, i], side[g, j]} != {1, 2} for g, i, j in links)
+    near = {k: set() for k in side}
+    for g, i, j in links:
+        near[g, i].add(side[g, j])
+        near[g, j].add(side[g, i])
+    assert all(s or near[k] >= {1, 2} for k, s in side.items())
+    assert sum(s == 1 for (g, _), s in side.items() if g == 0) >= sum(s == 2 for (g, _), s in side.items() if g == 0) > 0
+
+
+def test_wag_rates():
+    q, pi = matrices.wag(), np.array(scores.BACKGROUNDS["wag"])
+    assert q.shape == (20, 20) and matrices.is_rate_matrix(q, 1e-9) and q[1, 0] / pi[0] * pi[1] / q[0, 1] == pytest.approx(1)
+    order = "ACDEFGHIKLMNPQRSTVWY"
+    s = q / pi[None, :]
+    at = lambda a, b: s[order.index(a), order.index(b)] / s[order.index("C"), order.index("A")] * 1.02704
+    assert (at("E", "D"), at("K", "R"), at("Y", "W")) == pytest.approx((6.17416, 5.35142, 2.48539))
+
+
+def test_aliases_of_unknown_names(spark):
+    index = spark.createDataFrame([("a", 3)], "name string, seq_len long")
+    assert codes.with_aliases(index, spark.createDataFrame([("x", "a")], "alias string, name string")).count() == 2
+    with pytest.raises(Exception, match="unknown name b"):
+        codes.with_aliases(index, spark.createDataFrame([("x", "b")], "alias string, name string")).collect()
+
+
+def test_packed_columns(spark):
+    for c in ([], [0], [3] * 15, [0, 1, 2, 3] * 10, [0, 17, 2], [1] * 16 + [9]):
+        a = F.array(*map(F.lit, c)).cast("array<int>")
+        r = one(spark, five=codes.packed(a), back=codes.unpacked(codes.packed(a)), two=codes.unpacked(codes.packed(a, True)))
+        assert (r.five, r.back, r.two) == (codes.pack5(c), c, c)

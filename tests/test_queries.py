@@ -1,10 +1,11 @@
 """Every registered query runs, and gives its SQL's rows where it has one."""
 
+import numpy as np
 import pytest
 from oracle import SF, duck, same
 
-from strandflow.operators.tree import NODE
-from strandflow.plans import registry, structures
+from strandflow.operators import tree
+from strandflow.plans import registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -42,15 +43,46 @@ def test_guess_alphabet_of_all_documents(spark, tmp_path):
     assert {got[0], got[1], got[4], got[11]} == {"dna", "rna", None, "amino"}
 
 
-def test_tree_leaf_depths_of_a_ladder(spark, monkeypatch):
+def test_leaf_depths_of_a_ladder(spark):
     """300 levels, each with a leaf, beside a tree of one leaf."""
     rows = [(1, k, k - 1, k + 1, 1000 + k, float(k > 0), 1, None) for k in range(300)]
     rows += [(1, 1000 + k, k, -1, -1, 0.5, 1, f"l{k}") for k in range(300)] + [(2, 0, -1, -1, -1, 0.0, 1, "one")]
-    monkeypatch.setattr(structures, "_trees", lambda *_: spark.createDataFrame(rows, NODE))
-    got = {(r.tree_id, r.name): r.depth for r in registry.QUERIES["tree_leaf_depths"](spark, SF).collect()}
+    got = {(r.tree_id, r.name): r.depth for r in tree.leaf_depths(spark.createDataFrame(rows, tree.NODE)).collect()}
     assert got == {(1, f"l{k}"): k + 0.5 for k in range(300)} | {(2, "one"): 0.0}
 
 
+def plain_linkage(d, method):
+    """Heights of the merges, each pair of clusters looked at in each step."""
+    n = len(d)
+    d = {(i, j): d[i][j] for i in range(n) for j in range(n) if i != j}
+    size, live, out = dict.fromkeys(range(n), 1), list(range(n)), []
+    for node in range(n, 2 * n - 1):
+        a, b = min(((i, j) for i in live for j in live if i < j), key=lambda p: (d[p], p))
+        out.append((a, b, d[a, b] / (2 if method in ("average", "weighted") else 1)))
+        live = [x for x in live if x not in (a, b)]
+        for x in live:
+            u, v = d[a, x], d[b, x]
+            new = {"average": (size[a] * u + size[b] * v) / (size[a] + size[b]), "weighted": (u + v) / 2, "single": min(u, v), "complete": max(u, v)}[method]
+            d[node, x] = d[x, node] = new
+        size[node] = size[a] + size[b]
+        live.append(node)
+    return out
+
+
+@pytest.mark.parametrize("method", ["average", "weighted", "single", "complete"])
+def test_linkage_with_ties(method):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 9, 25):
+        m = rng.integers(1, 6, (n, n)).astype(float)
+        m = np.triu(m, 1) + np.triu(m, 1).T
+        t = tree.linkage(m, method)
+        want = plain_linkage(m, method)
+        assert [(t.left[k], t.right[k]) for k in range(n, 2 * n - 1)] == [w[:2] for w in want]
+        assert t.valid()
+    with pytest.raises(ValueError, match="more memory"):
+        tree.linkage(np.zeros((tree.MOST_LEAVES + 1, 1)))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

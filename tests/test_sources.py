@@ -4,7 +4,8 @@ import gzip
 
 import pytest
 
-from strandflow.sources import files, formats
+from strandflow.functions.alphabet import AMINO, DNA
+from strandflow.sources import binary, files, formats, indexed
 from strandflow.sources.formats import Alignment, Record
 from strandflow.streaming import ingest
 
@@ -96,3 +97,62 @@ def test_stream(spark, tmp_path):
         q = ingest.ingest(ingest.fasta_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
         q.awaitTermination()
     assert {r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"s1", "s2"}
+
+
+def test_large_files_are_split(spark, tmp_path):
+    """Records that straddle the reader's splits are read once, and an index finds each at its place."""
+    text = "".join(f">s{i} d\n" + ("ACGTACGTAC" * (i % 9) + "\n" + "TTTT\n" if i % 5 else "GG\n\nA \n") for i in range(3000))
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_text(">only\nACGT")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = indexed.scan_fasta(spark, str(tmp_path / "*.fa")).collect()
+        records = [Record(f"g{i}", "ACGT" * (i % 50 + 1), f"X{i}.1", "d") for i in range(300)]
+        for kind, read in (("genbank", files.read_genbank), ("embl", files.read_embl)):
+            (tmp_path / kind).write_text(formats.WRITERS[kind](records))
+            assert sorted((r.name, r.seq) for r in read(spark, str(tmp_path / kind)).collect()) == sorted((r.name, r.seq) for r in records)
+        (tmp_path / "m.sto").write_text("".join(formats.write_stockholm(Alignment(["one", "two"], list(ROWS), f"f{i}")) for i in range(200)))
+        assert files.read_stockholm(spark, str(tmp_path / "m.sto")).groupBy("id").count().where("count = 2").count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    data = {"a.fa": text.encode(), "b.fa": b">only\nACGT"}
+    assert len(rows) == 3001
+    for r in rows:
+        own = data[r.path.rsplit("/", 1)[1]]
+        assert own[r.offset : r.offset + 1 + len(r.name)] == b">" + r.name.encode()
+        assert own[r.data_offset - 1 : r.data_offset] == b"\n" and len(b"".join(own[r.data_offset : r.end_offset].split())) == r.seq_len
+    index = indexed.build(indexed.scan_fasta(spark, str(tmp_path / "*.fa")))
+    assert indexed.fetch(spark, index, ["s11", "only", "no", "s5"]) == [("s11", "ACGTACGTAC" * 2 + "TTTT"), ("only", "ACGT"), ("s5", "GGA")]
+    assert indexed.fetch_range(spark, index, "s11", 20, 22) == "CTT" and indexed.fetch_range(spark, index, "s5", 3, 3) == "A"
+    assert indexed.fetch_range(spark, index, "s11", 22, 20, DNA) == "AAG" and indexed.fetch_range(spark, index, "s11", 20, 25) is None
+
+
+def test_index_files():
+    keys = [("b", 0, 10, 14, 7), ("a", 1, 0, 3, 5)]
+    rows = binary.parse_index(binary.index_bytes(keys, ["x.fa", "y.fa"], {"z": "a"}))
+    assert rows == [("key", "b", None, 0, 10, 14, 7), ("key", "a", None, 1, 0, 3, 5), ("file", "x.fa", None, 0, None, None, None), ("file", "y.fa", None, 1, None, None, None), ("alias", "z", "a", None, None, None, None)]
+    old = b"ZSSI" + (1).to_bytes(4, "little") + (1).to_bytes(8, "little") + (1).to_bytes(4, "little") + b"k" + b"".join(x.to_bytes(8, "little") for x in (1, 2, 3))
+    assert binary.parse_index(old) == [("key", "k", None, 0, 1, 2, 3)]
+    for order in "<>":
+        back = binary.parse_disk_index(binary.disk_index_bytes(keys, [("x.fa", 61, 60), ("y.fa", 0, 0)], {"z": "a"}, order))
+        assert sorted(back, key=str) == sorted(rows, key=str)
+    for bad in (b"none", b"ZSSI" + (9).to_bytes(4, "little"), old[:-1]):
+        with pytest.raises(ValueError):
+            binary.parse_index(bad)
+    with pytest.raises(ValueError):
+        binary.parse_disk_index(b"nothing here")
+
+
+def test_packed_databases():
+    records = [("n1", "AC", None, 7, [0, 1, 2, 3] * 9), ("n2", None, "d e", None, []), ("n3", None, None, -5, [0, 17, 15, 4])]
+    held = binary.packed_bytes(records, DNA, "base")
+    rows = binary.parse_packed(*(held[k] for k in ("", ".dsqi", ".dsqm", ".dsqs")))
+    assert rows == [(0, "n1", "AC", None, 7, "dna", "ACGT" * 9), (1, "n2", None, "d e", None, "dna", ""), (2, "n3", None, None, -5, "dna", "A~N-")]
+    assert binary.parse_packed(*(held[k] for k in ("", ".dsqi", ".dsqm", ".dsqs")), 1, 1) == rows[1:2]
+    other = binary.packed_bytes(records, DNA, "another")
+    with pytest.raises(ValueError, match="belong together"):
+        binary.parse_packed(held[""], other[".dsqi"], held[".dsqm"], held[".dsqs"])
+    data = binary.database_bytes([("x", bytes([0, 3])), ("y", b"")], AMINO)
+    assert binary.parse_header(data) == ("amino", 2, 2) and [r[1::5] for r in binary.parse_database(data)] == [("x", "AE"), ("y", "")]
+    with pytest.raises(ValueError):
+        binary.parse_database(data[:-2])
