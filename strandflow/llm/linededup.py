@@ -93,9 +93,10 @@ def line_bitmaps(docs: DataFrame, text: str = "text", min_key: int = MIN_KEY) ->
     document, so that a key held by a third of the rows spreads over many tasks; the document's lines
     of one key never part. Only the first document that a partition has of its first key is open:
     the key that ends the partition before decides. One row per partition settles that.
-    Empty tables give no row; null ids take no part; null text has one empty line.
+    Empty tables give no row; null ids take no part; null text has one empty line. The hashes are
+    written first, as range partitioning reads its input twice: once to draw the ranges.
     """
-    rows = line_hashes(docs, text, min_key)
+    rows = materialize(line_hashes(docs, text, min_key), "hashes")
     ordered = rows.repartitionByRange(parts(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "version", "pos")
     seen = materialize(ordered.mapInArrow(_first_occurrences, _OUT_DDL), "lines")
     before = Window.orderBy("part")  # a row for each partition
