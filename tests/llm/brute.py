@@ -35,8 +35,11 @@ def line_dedup(docs):
 
 
 def substring_dedup(docs, span=13):
+    """A row without a doc_id neither removes nor loses words."""
     owner = {}
     for d, t in docs:
+        if d is None:
+            continue
         w = WORD.findall(t or "")
         for i in range(len(w) - span + 1):
             g = tuple(w[i : i + span])
@@ -46,7 +49,7 @@ def substring_dedup(docs, span=13):
         w = WORD.findall(t or "")
         gone = set()
         for i in range(len(w) - span + 1):
-            if owner[tuple(w[i : i + span])] < d:
+            if d is not None and owner[tuple(w[i : i + span])] < d:
                 gone.update(range(i, i + span))
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
