@@ -8,6 +8,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assi
 MERGE, RELABEL, INSERT = 1, 2, 3
 #: Distinct turn numbers of a chunk, and chunks of a higher one.
 CHUNK, FAN = 1024, 1024
+#: Turns of a chunk, as many of one number make it, beyond which it is dealt into parts of CHUNK turns.
+TIED = 8 * CHUNK
 INF = np.int64(1 << 40)
 
 
@@ -163,20 +166,21 @@ def _emit(groups, make, ddl: str, size: int = 5000) -> Iterator[pa.RecordBatch]:
     yield _batch(rows, ddl)
 
 
-_RESOLVED = "conv_id long, chunk long, start int, end int, last boolean"
+_RESOLVED = "conv_id long, chunk long, part long, start int, end int, last boolean"
+_MATRIX = "conv_id long, chunk long, part long, m array<long>"
 
 
 def _resolve(matrices: DataFrame) -> DataFrame:
-    """For (conv_id, chunk, m), each chunk's states at its start and end on a cheapest way.
+    """For (conv_id, chunk, part, m), each part's states at its start and end on a cheapest way.
 
-    Chunks of one conversation are combined in order, FAN at a time: matrices are multiplied upwards
+    Parts of one conversation are combined in order, FAN at a time: matrices are multiplied upwards
     until a conversation is one group, and start and end are handed down again.
     """
     matrices = materialize(matrices, "chat")
     span = matrices.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
     def down(items, start, end, last):
-        """Start and end of each of ``items`` (chunk, matrix), given those of the whole; end None: any that
+        """Start and end of each of ``items`` ((chunk, part), matrix), given those of the whole; end None: any that
         ends the conversation cheaply."""
         costs = [np.where(np.arange(5) == start, 0, INF)]
         for _, m in items:
@@ -186,15 +190,15 @@ def _resolve(matrices: DataFrame) -> DataFrame:
             states.append(int((cost + m[:, states[-1]]).argmin()))
         states.append(start)
         states.reverse()
-        return [(c, s, e, bool(last and i == len(items) - 1)) for i, ((c, _), s, e) in enumerate(zip(items, states, states[1:]))]
+        return [(*c, s, e, bool(last and i == len(items) - 1)) for i, ((c, _), s, e) in enumerate(zip(items, states, states[1:]))]
 
     matrix = lambda m: np.asarray(m, np.int64).reshape(5, 5)
     if span <= FAN:
         def top(batches):
-            make = lambda key, rows: [(key[0], *x) for x in down([(r[1], matrix(r[2])) for r in rows], 0, None, True)]
+            make = lambda key, rows: [(key[0], *x) for x in down([(r[1:3], matrix(r[3])) for r in rows], 0, None, True)]
             yield from _emit(_groups(batches, 1), make, _RESOLVED)
 
-        return _streamed(matrices, ["conv_id"], ["chunk"], top, _RESOLVED)
+        return _streamed(matrices, ["conv_id"], ["chunk", "part"], top, _RESOLVED)
 
     upper = matrices.withColumn("up", F.floor(F.col("chunk") / FAN))
 
@@ -202,66 +206,91 @@ def _resolve(matrices: DataFrame) -> DataFrame:
         def make(key, rows):
             m = np.where(np.eye(5, dtype=bool), 0, INF)
             for r in rows:
-                m = np.minimum((m[:, :, None] + matrix(r[3])[None]).min(1), INF)
-            return [(*key, m.ravel().tolist())]
+                m = np.minimum((m[:, :, None] + matrix(r[4])[None]).min(1), INF)
+            return [(*key, 0, m.ravel().tolist())]
 
-        yield from _emit(_groups(batches, 2), make, "conv_id long, chunk long, m array<long>")
+        yield from _emit(_groups(batches, 2), make, _MATRIX)
 
-    above = _resolve(_streamed(upper.select("conv_id", "up", "chunk", "m"), ["conv_id", "up"], ["chunk"], multiply, "conv_id long, chunk long, m array<long>"))
-    above = above.withColumnRenamed("chunk", "up").withColumnRenamed("conv_id", "c")
-    joined = upper.join(above, upper.conv_id.eqNullSafe(above.c) & (upper["up"] == above["up"])).select("conv_id", upper["up"], "chunk", "m", "start", "end", "last")
+    above = _resolve(_streamed(upper.select("conv_id", "up", "chunk", "part", "m"), ["conv_id", "up"], ["chunk", "part"], multiply, _MATRIX))
+    above = above.drop("part").withColumnRenamed("chunk", "up").withColumnRenamed("conv_id", "c")
+    joined = upper.join(above, upper.conv_id.eqNullSafe(above.c) & (upper["up"] == above["up"])).select("conv_id", upper["up"], "chunk", "part", "m", "start", "end", "last")
 
     def hand_down(batches):
-        make = lambda key, rows: [(key[0], *x) for x in down([(r[2], matrix(r[3])) for r in rows], rows[0][4], rows[0][5], rows[0][6])]
+        make = lambda key, rows: [(key[0], *x) for x in down([(r[2:4], matrix(r[4])) for r in rows], rows[0][5], rows[0][6], rows[0][7])]
         yield from _emit(_groups(batches, 2), make, _RESOLVED)
 
-    return _streamed(joined, ["conv_id", "up"], ["chunk"], hand_down, _RESOLVED)
+    return _streamed(joined, ["conv_id", "up"], ["chunk", "part"], hand_down, _RESOLVED)
 
 
-_OUT = "conv_id long, chunk long, pos long, turn long, role string, new_role string, action string, n_inserted long, piece string"
+_ROWS = "conv_id long, chunk long, turn long, role string, text string, turn_order long, part long"
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Adds ``part``: 0 but in chunks of over TIED turns. Those are dealt by range of turn, role and text, sorted and
+    cut into parts of at most CHUNK turns, whose numbers rise in that order; a range that equal turns fill is
+    cut as well. Written, as the ranges of a second run need not be the same."""
+    crowd = materialize(rows.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TIED).select(F.col("conv_id").alias("c"), F.col("chunk").alias("k")), "crowd")
+    own = rows.conv_id.eqNullSafe(crowd.c) & (rows.chunk == crowd.k)
+    single = rows.join(crowd, own, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    n, keys = parts(rows.sparkSession), ["conv_id", "chunk", "turn_order", "role"]
+    tied = rows.join(crowd, own, "left_semi").withColumn("begins", F.substring("text", 1, 64)).repartitionByRange(n, *keys, "begins").drop("begins").sortWithinPartitions(*keys, "text")
+
+    def number(batches):
+        at, k, task = None, 0, TaskContext.get().partitionId()
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                k, at = (k + 1 if r[:2] == at else 0), r[:2]
+                out.append((*r, task << 32 | k // CHUNK))
+            yield _batch(out, _ROWS)
+
+    return single.unionByName(materialize(tied.mapInArrow(number, _ROWS), "tied"))
+
+
+_OUT = "conv_id long, chunk long, part long, pos long, turn long, role string, new_role string, action string, n_inserted long, piece string"
 
 
 def repair(turns: DataFrame) -> DataFrame:
-    """A row per turn of (conv_id, turn, role, text): its place (chunk, pos), repaired role, what was done
+    """A row per turn of (conv_id, turn, role, text): its place (chunk, part, pos), repaired role, what was done
     (keep, merge, relabel, relabel_merge), empty turns inserted around it, and its piece of the rendering.
 
-    The pieces of a conversation in order of chunk and pos are its rendering. Turns are ordered by turn
+    The pieces of a conversation in order of chunk, part and pos are its rendering. Turns are ordered by turn
     (null last), role and text, so ties and repeated rows have a defined order; null text is empty; the
     null conv_id is one conversation. A conversation of any length is cut into chunks of CHUNK turn
-    numbers: each chunk's costs are a matrix, the matrices are combined in order, and each chunk then
-    finds its own part of a cheapest way, between the states that the combination has set.
+    numbers, and one of many turns into parts: the costs of each are a matrix, the matrices are combined in
+    order, and each then finds its own piece of a cheapest way, between the states that the combination has
+    set. Empty tables give no rows; a text of any length is carried whole; other columns are not read.
     """
     late = F.lit(1 << 52)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.floor(F.col("turn") / CHUNK), late).cast("bigint").alias("chunk"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
 
     def reduce(batches):
-        make = lambda key, rows: [(*key, product([role_index(r[3]) for r in rows]).ravel().tolist())]
-        yield from _emit(_groups(batches, 2), make, "conv_id long, chunk long, m array<long>")
+        make = lambda key, rows: [(*key, product([role_index(r[4]) for r in rows]).ravel().tolist())]
+        yield from _emit(_groups(batches, 3), make, _MATRIX)
 
-    order = F.coalesce("turn", F.lit((1 << 63) - 1))
-    keyed = rows.withColumn("turn_order", order)
-    small = keyed.select("conv_id", "chunk", "turn_order", "role")
-    resolved = _resolve(_streamed(small, ["conv_id", "chunk"], ["turn_order", "role"], reduce, "conv_id long, chunk long, m array<long>"))
-    there = resolved.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "start", "end", "last")
-    both = keyed.join(there, keyed.conv_id.eqNullSafe(there.c) & (keyed.chunk == there.k)).select("conv_id", "chunk", "turn_order", "role", "text", "turn", "start", "end", "last")
+    keyed = _in_parts(rows.withColumn("turn_order", F.coalesce("turn", F.lit((1 << 63) - 1))))
+    small = keyed.select("conv_id", "chunk", "part", "turn_order", "role")
+    resolved = _resolve(_streamed(small, ["conv_id", "chunk", "part"], ["turn_order", "role"], reduce, _MATRIX))
+    there = resolved.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.col("part").alias("p"), "start", "end", "last")
+    both = keyed.join(there, keyed.conv_id.eqNullSafe(there.c) & (keyed.chunk == there.k) & (keyed.part == there.p)).select("conv_id", "chunk", "part", "turn_order", "role", "text", "turn", "start", "end", "last")
 
     def finish(batches):
         def make(key, rows):
-            roles = [role_index(r[3]) for r in rows]
-            costs = forward(np.where(np.arange(5) == rows[0][6], 0, INF), roles)
-            states = backward(costs, roles, rows[0][7])
-            pieces = render(roles, [escaped(r[4] or "") for r in rows], states, rows[0][8])
-            return [(*key, i, r[5], r[3], *p) for i, (r, p) in enumerate(zip(rows, pieces))]
+            roles = [role_index(r[4]) for r in rows]
+            costs = forward(np.where(np.arange(5) == rows[0][7], 0, INF), roles)
+            states = backward(costs, roles, rows[0][8])
+            pieces = render(roles, [escaped(r[5] or "") for r in rows], states, rows[0][9])
+            return [(*key, i, r[6], r[4], *p) for i, (r, p) in enumerate(zip(rows, pieces))]
 
-        yield from _emit(_groups(batches, 2), make, _OUT)
+        yield from _emit(_groups(batches, 3), make, _OUT)
 
-    return _streamed(both, ["conv_id", "chunk"], ["turn_order", "role", "text"], finish, _OUT)
+    return _streamed(both, ["conv_id", "chunk", "part"], ["turn_order", "role", "text"], finish, _OUT)
 
 
 def renderings(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, text): each conversation's whole rendering. A conversation becomes one value here, so
     this is for conversations that fit one; ``repair`` gives the pieces of any."""
-    pieces = F.sort_array(F.collect_list(F.struct("chunk", "pos", "piece")))
+    pieces = F.sort_array(F.collect_list(F.struct("chunk", "part", "pos", "piece")))
     whole = F.concat_ws("", F.transform(pieces, lambda p: p["piece"]))
     return repair(turns).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), whole.alias("text"))
 

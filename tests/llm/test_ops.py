@@ -52,7 +52,7 @@ def test_columns_of_the_operators_own_names(docs, name):
 
 def test_turns_and_vectors_with_clashing_columns(spark):
     turns = spark.createDataFrame([(c, k, "user" if k % 3 else None, f"t{k}") for c in range(5) for k in range(4)], TURNS)
-    more = turns.withColumns({c: F.lit("x") for c in "chunk pos turn_order start end last c k m up n piece new_role".split()})
+    more = turns.withColumns({c: F.lit("x") for c in "chunk part pos turn_order start end last begins c k m up n p piece new_role".split()})
     assert pulled(chat.op6(more), "conv_id", "pos", "piece") == pulled(chat.op6(turns), "conv_id", "pos", "piece")
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(45)], VECTORS)
     more = vectors.withColumns({c: F.lit("x") for c in "id v dim score query floor rank query_id".split()})
@@ -542,13 +542,14 @@ def conversations(spark, monkeypatch_chunk=None):
             rows.append((c, k if c % 7 else 0, names[int(rng.integers(8))], f"t{c}.{k}" if k % 3 else None))
     rows += [(99, k, names[int(rng.integers(8))], f"long{k}") for k in range(300)]
     rows += [(None, None, "user", "lost"), (5, None, "user", "late")]
+    rows += [(77, 4, names[k % 3], "again" if k % 2 else f"tie{k}") for k in range(60)]  # one number for many turns, some of them equal
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
-@pytest.mark.parametrize("chunk,fan", [(1024, 1024), (8, 3)])
-def test_chat(spark, monkeypatch, chunk, fan):
-    monkeypatch.setattr(chat, "CHUNK", chunk)
-    monkeypatch.setattr(chat, "FAN", fan)
+@pytest.mark.parametrize("chunk,fan,tied", [(1024, 1024, 8192), (8, 3, 8192), (3, 4, 3)])
+def test_chat(spark, monkeypatch, chunk, fan, tied):
+    for name, value in (("CHUNK", chunk), ("FAN", fan), ("TIED", tied)):
+        monkeypatch.setattr(chat, name, value)
     rows, df = conversations(spark)
     got = chat.op6(df.repartition(5)).collect()
     assert len(got) == len(rows)
@@ -558,7 +559,7 @@ def test_chat(spark, monkeypatch, chunk, fan):
     for r in rows:
         given[r[0]].append(r)
     for c, turns in convs.items():
-        turns.sort(key=lambda r: (r.chunk, r.pos))
+        turns.sort(key=lambda r: (r.chunk, r.part, r.pos))
         order = sorted(given[c], key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or ""))
         assert [(r.turn, r.role) for r in turns] == [(r[1], r[2]) for r in order]
         state = 0
