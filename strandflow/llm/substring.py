@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,7 +192,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extract(docs: DataFrame, contested: DataFrame) -> DataFrame:
     """The contested passages' words; of an anchor with too many, a row per window with its hash for
     an anchor and no words."""
-    heavy = contested.groupBy("anchor").agg((F.count(F.lit(1)) > SHARD).alias("heavy")).where("heavy")
+    # Written, so that Spark knows its size: at most one anchor for every SHARD rows, broadcast if that is small.
+    heavy = materialize(contested.groupBy("anchor").agg((F.count(F.lit(1)) > SHARD).alias("heavy")).where("heavy"), "heavy")
     marked = contested.join(heavy, "anchor", "left").select("anchor", "doc_id", "place", F.coalesce("heavy", F.lit(False)).alias("heavy"))
     lists = marked.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "place", "heavy")).alias("found"))
     both = _texts(docs).join(lists, "doc_id").select("doc_id", "version", "text", "found")
@@ -267,31 +269,95 @@ def removals(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with n_words, n_removed and kept_text: the words left, joined by one space.
 
-    Null text has no words. Rows without a doc_id keep all words; rows that share a doc_id do not
-    remove each other's words. A document under SPAN words keeps them all.
+    Null and empty texts have no words. Rows without a doc_id keep all words; rows that share a doc_id do
+    not remove each other's words. A document under SPAN words keeps them all. Texts are read whole,
+    whatever their length; other columns are not read; empty tables give no rows.
     """
     both = _texts(docs).join(removals(docs), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total, removed, kept = [], [], []
+            cut = []
             for version, text, places in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                total.append(len(words))
-                if places:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    for first, count in _spans(places, version):
-                        gone[first] += 1
-                        gone[first + count + SPAN - 1] -= 1
-                    left = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g]
-                    removed.append(len(words) - len(left))
-                    words = left
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+                cut.append(_without(words, [(first, first + count + SPAN - 1) for first, count in _spans(places or (), version)]))
+            yield _kept(b.column(0), cut)
+
+    return both.mapInArrow(run, _KEPT)
+
+
+_KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def _without(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, int, str]:
+    """Number of words, how many lie in ``spans`` (first, end), and the others joined by one space."""
+    gone = np.zeros(len(words) + 1, np.int64)
+    for first, end in spans:
+        gone[first] += 1
+        gone[end] -= 1
+    left = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g] if spans else words
+    return len(words), len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")
+
+
+def _kept(ids: pa.Array, cut: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    total, removed, kept = zip(*cut) if cut else ((), (), ())
+    return pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+
+#: Words of one broadcast automaton, and of all: a reference beyond that is refused.
+SHARD_WORDS, REFERENCE_WORDS = 250_000, 2_000_000
+
+
+def remove_known(docs: DataFrame, reference: DataFrame, span: int = SPAN) -> DataFrame:
+    """``docs`` (doc_id, text) as ``remove_repeats`` gives them, without every maximal run of ``span`` words or
+    more that a text of ``reference`` (text) holds.
+
+    For a reference whose size is known to be small, as a set of benchmark passages: its distinct texts are
+    counted, and over REFERENCE_WORDS words are refused. They are broadcast in shards of SHARD_WORDS; each
+    Python worker builds a shard's suffix automaton once and streams its documents past it for their
+    matching statistics. No shuffle of ``docs``. Null and empty texts of either side match nothing.
+    """
+    texts = reference.where("text is not null").select("text").distinct()
+    n = texts.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    if n > REFERENCE_WORDS:
+        raise ValueError(f"a reference of {n} words is over the {REFERENCE_WORDS} that may be broadcast; use remove_repeats on a table with both")
+    shards, size = [[]], 0
+    for (t,) in texts.toLocalIterator():
+        words = t.encode("utf-8", "surrogatepass").split()
+        if size and size + len(words) > SHARD_WORDS:
+            shards.append([])
+            size = 0
+        shards[-1].append(words)
+        size += len(words)
+    sent = [docs.sparkSession.sparkContext.broadcast(s) for s in shards]
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = []
+            for text in b.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                found = []
+                for i, s in enumerate(sent if len(words) >= span else ()):
+                    found += [(at - n + 1, at + 1) for at, n in enumerate(_automaton((name, i), s).matches(words)) if n >= span]
+                cut.append(_without(words, found))
+            yield _kept(b.column(0), cut)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _KEPT)
+
+
+_automata: dict[tuple[str, int], SuffixAutomaton] = {}
+
+
+def _automaton(key: tuple[str, int], sent) -> SuffixAutomaton:
+    """One for each Python worker and shard; those of another reference are let go."""
+    if key not in _automata:
+        for other in [k for k in _automata if k[0] != key[0]]:
+            del _automata[other]
+        _automata[key] = SuffixAutomaton()
+        for words in sent.value:
+            _automata[key].add(words)
+    return _automata[key]
 
 
 def op4(docs: DataFrame) -> DataFrame:
