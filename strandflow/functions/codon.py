@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,36 +106,43 @@ def three_frames(df: DataFrame, seq: str, code: GeneticCode = CODES[1]) -> DataF
     return df.withColumn("_f", F.explode(frames)).select("*", "_f.frame", "_f.protein").drop("_f")
 
 
+def _orfs(seq: str, code: GeneticCode, amino: dict, starts: set, shortest: int) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, frame, protein) of one strand: from an initiator to a stop, which ``end`` includes, or
+    to the end of the sequence."""
+    for frame in range(3):
+        begin, protein = -1, []
+        for at in range(frame, len(seq) - 2, 3):
+            codon = seq[at : at + 3]
+            aa = amino.get(codon, "X")
+            if aa == "*":
+                if begin >= 0 and len(protein) >= shortest:
+                    yield begin, at + 3, frame, "".join(protein)
+                begin, protein = -1, []
+            elif begin >= 0:
+                protein.append(aa)
+            elif codon in starts:
+                begin, protein = at, ["M"]
+        if begin >= 0 and len(protein) >= shortest:
+            yield begin, len(seq), frame, "".join(protein)
+
+
 def find_orfs(df: DataFrame, id_col: str, seq: str, code: GeneticCode = CODES[1], shortest: int = 20) -> DataFrame:
     """A row per open reading frame of both strands: (id, start, end, frame, strand, protein) with 0-based
     coordinates of the strand's own reading, and forward_start and forward_end on the given strand.
-
-    A frame runs from an initiator to a stop, which ``end`` includes, or to the end of the sequence. Degenerate
-    codons never start one. A pass over the codons of each strand and frame notes where frames lie; proteins are
-    cut from the translation.
-    """
-    text = F.col(seq)
-    strands = F.array(F.struct(F.lit("forward").alias("strand"), text.alias("t")), F.struct(F.lit("reverse").alias("strand"), DNA.reverse_complement(text).alias("t")))
-    rows = df.where(text.isNotNull()).select(id_col, F.explode(strands).alias("z")).select(id_col, "z.strand", "z.t", F.explode(F.array(*map(F.lit, range(3)))).alias("frame"))
-    cut = F.split(F.regexp_replace(F.expr("substring(t, frame + 1)"), "(.{3})", "$1,"), ",")
-    rows = rows.withColumn("codons", F.filter(cut, lambda c: F.length(c) == 3)).withColumn("amino", F.transform("codons", lambda c: _lookup(code, c)))
-
-    places = "array<struct<b:int,e:int,stopped:boolean>>"
-    place = lambda b, e, stopped: F.array(F.struct(b.cast("int").alias("b"), e.cast("int").alias("e"), F.lit(stopped).alias("stopped")))
-    state = lambda b, found: F.struct(b.cast("int").alias("b"), found.cast(places).alias("found"))
-    noted = lambda z, e, stopped: F.when((z["b"] >= 0) & (e - z["b"] >= shortest), F.concat(z["found"], place(z["b"], e, stopped))).otherwise(z["found"])
-
-    def step(z, x):
-        opens = (z["b"] < 0) & x["starts"]
-        return F.when(x["a"] == "*", state(F.lit(-1), noted(z, x["i"], True))).when(opens, state(x["i"], z["found"])).otherwise(state(z["b"], z["found"]))
-
-    steps = F.zip_with("codons", F.transform("amino", lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda c, y: F.struct(y["a"].alias("a"), y["i"].alias("i"), c.isin(*sorted(code.starts)).alias("starts")))
-    found = F.aggregate(F.col("steps"), state(F.lit(-1), F.array()), step)
-    rows = rows.withColumn("steps", steps).withColumn("end_", found).withColumn("f", F.explode(noted(F.col("end_"), F.size("codons"), False)))
-    n = F.length("t")
-    start = F.col("frame") + 3 * F.col("f.b")
-    end = F.when(F.col("f.stopped"), F.col("frame") + 3 * F.col("f.e") + 3).otherwise(n)
-    protein = F.concat(F.lit("M"), F.array_join(F.slice("amino", F.col("f.b") + 2, F.col("f.e") - F.col("f.b") - 1), ""))
-    forward = F.col("strand") == "forward"
-    out = rows.select(id_col, start.alias("start"), end.alias("end"), "frame", "strand", protein.alias("protein"), n.alias("n"), forward.alias("fw"))
-    return out.select(id_col, "start", "end", "frame", "strand", "protein", F.when(F.col("fw"), F.col("start")).otherwise(F.col("n") - F.col("end")).alias("forward_start"), F.when(F.col("fw"), F.col("end")).otherwise(F.col("n") - F.col("start")).alias("forward_end"))
+    Degenerate codons never start a frame."""
+    amino = {c: a for c in map("".join, itertools.product(DNA.residues, repeat=3)) if (a := code.translate(c))}
+    starts, pairs = set(code.starts), str.maketrans(*DNA.complements)
+    kind = dict(df.dtypes)[id_col]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for key, text in zip(f[id_col], f[seq]):
+                if text is None:
+                    continue
+                n = len(text)
+                out += [(key, s, e, fr, "forward", p, s, e) for s, e, fr, p in _orfs(text, code, amino, starts, shortest)]
+                out += [(key, s, e, fr, "reverse", p, n - e, n - s) for s, e, fr, p in _orfs(text.translate(pairs)[::-1], code, amino, starts, shortest)]
+            yield pd.DataFrame(out, columns=[id_col, "start", "end", "frame", "strand", "protein", "forward_start", "forward_end"])
+
+    return df.select(id_col, seq).mapInPandas(run, f"{id_col} {kind}, start int, end int, frame int, strand string, protein string, forward_start int, forward_end int")

@@ -54,11 +54,19 @@ BLOCK_ROWS = 2000
 def pairs(rows: DataFrame, abc: Alphabet, length: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(msa_id, i, j, n_both, n_same, n_i, n_j) of every two rows i < j of each alignment.
 
-    An alignment's rows are dealt by hash to one block for every ``block_rows`` of them, and every two blocks
-    are joined, so that a large alignment spreads over as many keys as it has pairs of blocks and a small one is
-    one key. Planes are made once, before the exchange."""
-    blocks = rows.groupBy("msa_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    return _joined(prepared(rows, abc, length).join(blocks, "msa_id"), length)
+    The rows of each alignment are counted first. Where none has over ``block_rows``, both sides of the join on
+    the alignment read one exchange. Else an alignment's rows are dealt by hash to one block for every
+    ``block_rows`` of them and every two blocks are joined, so that a large alignment spreads over as many keys as
+    it has pairs of blocks."""
+    counts = rows.groupBy("msa_id").agg(F.count(F.lit(1)).alias("rows"))
+    p = prepared(rows, abc, length)
+    if (counts.agg(F.max("rows")).first()[0] or 0) > block_rows:
+        blocks = counts.select("msa_id", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
+        return _joined(p.join(blocks, "msa_id"), length)
+    p = p.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "msa_id")
+    a = p.select("msa_id", F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
+    b = p.select("msa_id", F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
+    return _compared(a.join(b, "msa_id"), length)
 
 
 def blocked_pairs(rows: DataFrame, abc: Alphabet, length: int, blocks: int) -> DataFrame:
@@ -73,8 +81,12 @@ def _joined(p: DataFrame, length: int) -> DataFrame:
     a = dealt.select("msa_id", F.col("k").alias("ka"), F.explode("every").alias("kb"), F.col("idx").alias("i"), F.col("p").alias("pi"), F.col("n").alias("n_i"))
     b = dealt.select("msa_id", F.explode("every").alias("ka"), F.col("k").alias("kb"), F.col("idx").alias("j"), F.col("p").alias("pj"), F.col("n").alias("n_j"))
     keys = ["msa_id", "ka", "kb"]
+    return _compared(a.repartition(n, *keys).join(b.repartition(n, *keys), keys), length)
+
+
+def _compared(both_sides: DataFrame, length: int) -> DataFrame:
     both, same = both_and_same("pi", "pj", length)
-    return a.repartition(n, *keys).join(b.repartition(n, *keys), keys).where("i < j").select("msa_id", "i", "j", both.alias("n_both"), same.alias("n_same"), "n_i", "n_j")
+    return both_sides.where("i < j").select("msa_id", "i", "j", both.alias("n_both"), same.alias("n_same"), "n_i", "n_j")
 
 
 def identity() -> Column:
