@@ -10,29 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
+from ..sources import scratch
 from . import alignment, pairs, tree
 
 
 def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(msa_id, idx, root): connected components of edges (msa_id, i, j) within each alignment, root the
     smallest idx. A round gives each node its neighbours' smallest label and then that label's own
-    label; the rounds end when none changes. Tables are cut by checkpoint() where a folder is set."""
-    both = edges.select("msa_id", "i", "j").unionByName(edges.select("msa_id", F.col("j").alias("i"), F.col("i").alias("j"))).persist()
+    label; the rounds end when none changes, and each ends with a written table."""
+    both = scratch.cut(edges.select("msa_id", "i", "j").unionByName(edges.select("msa_id", F.col("j").alias("i"), F.col("i").alias("j"))), "links")
     labels = nodes.select("msa_id", "idx", F.col("idx").alias("root"))
-    cut, held = edges.sparkSession.sparkContext.getCheckpointDir() is not None, None
     while True:
         near = both.join(labels.withColumnRenamed("idx", "j"), ["msa_id", "j"]).groupBy("msa_id", F.col("i").alias("idx")).agg(F.min("root").alias("near"))
         step = labels.join(near, ["msa_id", "idx"], "left").select("msa_id", "idx", "root", F.least("root", "near").alias("r"))
         jump = step.select("msa_id", F.col("idx").alias("r"), F.col("r").alias("rr"))
-        after = step.join(jump, ["msa_id", "r"]).select("msa_id", "idx", F.col("rr").alias("root"), (F.col("rr") != F.col("root")).alias("moved"))
-        after = after.checkpoint() if cut else after.persist()
-        moved = after.where("moved").limit(1).count()
-        if held is not None:
-            held.unpersist()
-        held = None if cut else after
+        after = scratch.cut(step.join(jump, ["msa_id", "r"]).select("msa_id", "idx", F.col("rr").alias("root"), (F.col("rr") != F.col("root")).alias("moved")), "labels")
         labels = after.drop("moved")
-        if not moved:
-            both.unpersist()
+        if after.where("moved").isEmpty():
             return labels
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def _rank(seed: int, *cols):
     return F.xxhash64(F.lit(seed), *cols)
@@ -20,19 +22,20 @@ def both_ways(links: DataFrame) -> DataFrame:
 def independent_set(vertices: DataFrame, links: DataFrame, seed: int = 1) -> DataFrame:
     """(g, i, chosen): a maximal set without links, by rounds of random priorities: a vertex that outranks
     all its open neighbours joins, and they leave. Each round is a min and two anti joins."""
-    edges = both_ways(links).persist()
+    edges = scratch.cut(both_ways(links), "links")
     left, chosen, turn = vertices.select("g", "i").distinct(), None, 0
     while True:
-        ranked = left.withColumn("r", F.struct(_rank(seed + turn, "g", "i").alias("h"), F.col("i").alias("v"))).persist()
+        ranked = left.withColumn("r", F.struct(_rank(seed + turn, "g", "i").alias("h"), F.col("i").alias("v")))
         live = edges.join(ranked.select("g", F.col("i").alias("j"), F.col("r").alias("rj")), ["g", "j"])
         least = live.groupBy("g", "i").agg(F.min("rj").alias("best"))
-        won = ranked.join(least, ["g", "i"], "left").where("best is null or r < best").select("g", "i").persist()
-        if not won.limit(1).count():
+        won = ranked.join(least, ["g", "i"], "left").where("best is null or r < best").select("g", "i")
+        won = scratch.cut(won, "won")
+        if won.isEmpty():
             break
         chosen = won if chosen is None else chosen.unionByName(won)
         beaten = edges.join(won, ["g", "i"], "left_semi").select("g", F.col("j").alias("i"))
         left = left.join(won, ["g", "i"], "left_anti").join(beaten, ["g", "i"], "left_anti")
-        left = left.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+        left = scratch.cut(left, "open")
         turn += 1
     mark = vertices.select("g", "i").distinct()
     if chosen is None:
@@ -48,22 +51,23 @@ def independent_pair(vertices: DataFrame, links: DataFrame, seed: int = 1) -> Da
     it outranks all open neighbours that stand for the other side; then its neighbours may no longer join the
     side across. Each round is a min and two joins, and the vertex of least rank always joins.
     """
-    edges = both_ways(links).where("i <> j").persist()
+    edges = scratch.cut(both_ways(links).where("i <> j"), "links")
     left, joined, turn = vertices.select("g", "i").distinct().withColumns({"one": F.lit(True), "two": F.lit(True)}), None, 0
     while True:
         coin = F.pmod(_rank(seed + 2 * turn, "g", "i"), F.lit(2)) == 0
         stand = F.when(F.col("one") & (~F.col("two") | coin), 1).otherwise(2)
-        ranked = left.withColumns({"side": stand, "r": F.struct(_rank(seed + 2 * turn + 1, "g", "i").alias("h"), F.col("i").alias("v"))}).persist()
+        ranked = left.withColumns({"side": stand, "r": F.struct(_rank(seed + 2 * turn + 1, "g", "i").alias("h"), F.col("i").alias("v"))})
         across = edges.join(ranked.select("g", F.col("i").alias("j"), F.col("side").alias("sj"), F.col("r").alias("rj")), ["g", "j"]).join(ranked.select("g", "i", "side"), ["g", "i"]).where("side <> sj")
         least = across.groupBy("g", "i").agg(F.min("rj").alias("best"))
-        won = ranked.join(least, ["g", "i"], "left").where("best is null or r < best").select("g", "i", "side").persist()
+        won = ranked.join(least, ["g", "i"], "left").where("best is null or r < best").select("g", "i", "side")
+        won = scratch.cut(won, "won")
         if won.isEmpty():
             break
         joined = won if joined is None else joined.unionByName(won)
         near = edges.join(won, ["g", "i"]).groupBy("g", F.col("j").alias("i")).agg(F.max(F.col("side") == 1).alias("by_one"), F.max(F.col("side") == 2).alias("by_two"))
         rest = left.join(won, ["g", "i"], "left_anti").join(near, ["g", "i"], "left")
         left = rest.select("g", "i", (F.col("one") & ~F.coalesce("by_two", F.lit(False))).alias("one"), (F.col("two") & ~F.coalesce("by_one", F.lit(False))).alias("two")).where("one or two")
-        left = left.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+        left = scratch.cut(left, "open")
         turn += 1
     mark = vertices.select("g", "i").distinct()
     if joined is None:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 NODE = "tree_id long, node long, parent long, left long, right long, branch_length double, size long, name string"
 
 
@@ -320,17 +322,16 @@ def merges(nodes: DataFrame) -> DataFrame:
 
 def leaf_depths(nodes: DataFrame) -> DataFrame:
     """(tree_id, name, depth): length from the root to each leaf, by doublings of the parent links until no
-    node has an ancestor left, each a join on (tree_id, node). Tables are cut by checkpoint() where a
-    folder is set."""
-    cut = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    node has an ancestor left, each a join on (tree_id, node). Each doubling ends with a
+    written table."""
     up = nodes.select("tree_id", "node", "name", F.col("parent").alias("at"), F.col("branch_length").alias("depth"))
-    up = up.checkpoint() if cut else up.persist()
+    up = scratch.cut(up, "depths")
     for _ in range(64):
         if up.where("at >= 0").isEmpty():
             break
         above = up.select("tree_id", F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
         up = up.join(above, ["tree_id", "at"], "left").select("tree_id", "node", "name", F.coalesce("next", F.lit(-1)).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth"))
-        up = up.checkpoint() if cut else up.persist()
+        up = scratch.cut(up, "depths")
     else:
         raise ValueError("parent links form a cycle")
     return up.where("name is not null").select("tree_id", "name", "depth")

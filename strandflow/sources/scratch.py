@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -17,3 +17,11 @@ def folder(spark: SparkSession, tag: str) -> str:
         base = tempfile.mkdtemp(prefix="strandflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a new folder and read again: lineage ends here, and a lost executor costs nothing that
+    was done before. What each round of a loop ends with."""
+    path = folder(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
