@@ -324,7 +324,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = materialize(_in_blocks(ranked, F.lit(1), HELD_ROWS, [], _promising, _RANKED).dropDuplicates(["b", "rep"]), "promising")
     bodies = texts.select(F.col("doc_id").alias("rep"), "text")
     loaded = chosen.join(bodies, "rep")
-    rest = materialize(_in_blocks(loaded, F.octet_length("text"), HELD_BYTES, ["text"], _alike, "u long, v long").distinct(), "links")
+    weight = F.greatest(F.octet_length("text"), F.lit(HELD_BYTES // HELD_ROWS))  # short texts are bounded in number
+    rest = materialize(_in_blocks(loaded, weight, HELD_BYTES, ["text"], _alike, "u long, v long").distinct(), "links")
     if rest.limit(1).count():
         group = components(edges.unionByName(rest))
 
