@@ -8,15 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
+def base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master may go without that setting: there the driver's temporary folder
+    is the executors' too, one for each application."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _local:
+        _local[own] = tempfile.mkdtemp(prefix="strandflow-")
+    return _local[own]
+
+
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only a local master may go without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="strandflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    """A new path under ``base``."""
+    return f"{base(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Round trips, odd files and readers of the formats."""
 
 import gzip
+from types import SimpleNamespace
 
 import pytest
 
 from strandflow.functions.alphabet import AMINO, DNA
-from strandflow.sources import binary, files, formats, indexed
+from strandflow.sources import binary, files, formats, indexed, scratch
 from strandflow.sources.formats import Alignment, Record
 from strandflow.streaming import ingest
 
@@ -156,3 +157,15 @@ def test_packed_databases():
     assert binary.parse_header(data) == ("amino", 2, 2) and [r[1::5] for r in binary.parse_database(data)] == [("x", "AE"), ("y", "")]
     with pytest.raises(ValueError):
         binary.parse_database(data[:-2])
+
+
+@pytest.mark.parametrize("master,setting", [("local[4]", "/shared"), ("local[4]", None), ("spark://host:7077", "/shared"), ("spark://host:7077", None)])
+def test_scratch_folder(master, setting):
+    """Where the setting is missing, a local master has one temporary folder and any other is an error."""
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: setting), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    if setting is None and not master.startswith("local"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.folder(session, "t")
+        return
+    a, b = scratch.folder(session, "t"), scratch.folder(session, "t")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0] == (setting or scratch.base(session))
