@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: The ASCII white space of every text contract: space, tab, newline, VT, FF, CR.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
@@ -24,26 +23,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without that setting: there the driver's temporary folder is the
-    executors' too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="strandflow-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    return scratch.base(spark)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: a cut of the lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch.cut(df, tag)
 
 
 def lower_ascii(text: Column) -> Column:
