@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import DNA
 from ..operators import matrices
 from ..sources import files, scratch
-from .inputs import frame, oracle
+from .inputs import frame, oracle, spread
 
 QUERIES, SQL = {}, {}
 
@@ -91,7 +91,7 @@ _SEQS = oracle("seqs", sql="select name, 'AC' || id || '.1' as accession, 'made
 
 
 def _records(spark, d):
-    return frame(spark, d, "seqs").select("name", F.concat(F.lit("AC"), F.col("id").cast("string"), F.lit(".1")).alias("accession"), F.concat(F.lit("made of "), F.col("name")).alias("description"), "seq")
+    return spread(spark, d, "seqs").select("name", F.concat(F.lit("AC"), F.col("id").cast("string"), F.lit(".1")).alias("accession"), F.concat(F.lit("made of "), F.col("name")).alias("description"), "seq")
 
 
 def _sequence_query(kind: str):
@@ -135,7 +135,7 @@ def _(spark, d):
 @query("sequences_from_memory", oracle("seqs", sql="select name, seq from seqs"))
 def _(spark, d):
     """Each record from a column of file contents, its format found by its first bytes."""
-    texts = files.genbank_text(frame(spark, d, "seqs"))
+    texts = files.genbank_text(spread(spark, d, "seqs"))
     held = texts.select(F.lit("memory").alias("path"), F.col("value").cast("binary").alias("content"))
     return files.parse_sequences(held).select("name", "seq")
 

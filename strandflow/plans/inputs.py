@@ -44,6 +44,16 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f" from {source}", " from {src}"), src=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``frame`` with its source's rows dealt to all tasks before they are derived: a small file that holds many rows
+    is read by one task, and what is made of each row would be too."""
+    text = SQL[name]
+    source = text.rsplit(" from ", 1)[1].strip()
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
+    return spark.sql(text.replace(f" from {source}", " from {src}"), src=dealt)
+
+
 def oracle(*names: str, sql: str) -> str:
     """``sql`` over the named derived tables."""
     return "with " + ", ".join(f"{n} as ({SQL[n]})" for n in names) + " " + sql

@@ -87,18 +87,36 @@ def _kind(given: str | None, path: str, text: str) -> str:
     return kind
 
 
+#: Records and letters that a batch of parsed rows holds.
+BATCH_ROWS, BATCH_LETTERS = 10_000, 1 << 23
+
+
 def parse_sequences(files: DataFrame, kind: str | None = None) -> DataFrame:
     """SEQUENCE rows of (path, content), gzip or plain: the named format, else what the first bytes, else what
-    the name shows. An alignment's rows come without gaps."""
+    the name shows. An alignment's rows come without gaps. Of a file of sequences a record is parsed at a time, and
+    a batch holds the records of many small files."""
+
+    def records(path: str, content: bytes) -> Iterator[formats.Record]:
+        head, lines = formats.begun(formats.lines_of(content))
+        own = _kind(kind, path, head)
+        if own in formats.RECORDS:
+            yield from formats.RECORDS[own](lines)
+        else:
+            for a in formats.parse(formats.decoded(content), own):
+                yield from (formats.Record(n, r.translate(str.maketrans("", "", "-._*~"))) for n, r in zip(a.names, a.rows))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for f in frames:
             for p, content in zip(f["path"], f["content"]):
-                text = formats.decoded(content)
-                found = formats.parse(text, _kind(kind, p, text))
-                if found and isinstance(found[0], formats.Alignment):
-                    found = [formats.Record(n, r.translate(str.maketrans("", "", "-._*~"))) for a in found for n, r in zip(a.names, a.rows)]
-                yield pd.DataFrame([(p, i, r.name, r.accession, r.description, r.seq) for i, r in enumerate(found)], columns=_names(SEQUENCE))
+                for i, r in enumerate(records(p, content)):
+                    rows.append((p, i, r.name, r.accession, r.description, r.seq))
+                    size += len(r.seq)
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_LETTERS:
+                        yield pd.DataFrame(rows, columns=_names(SEQUENCE))
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=_names(SEQUENCE))
 
     return files.select("path", "content").mapInPandas(run, SEQUENCE)
 
@@ -188,9 +206,14 @@ def embl_text(df: DataFrame) -> DataFrame:
 SEQUENCE_TEXT = {"fasta": fasta_text, "genbank": genbank_text, "embl": embl_text}
 
 
-def write_sequences(df: DataFrame, path: str, kind: str = "fasta", compression: str = "none") -> None:
-    """A text file for each partition of (name, [accession], [description], seq), ``gzip`` or plain."""
-    SEQUENCE_TEXT[kind](df).write.option("compression", compression).text(path)
+#: Records of a file that ``write_sequences`` makes.
+FILE_RECORDS = 100_000
+
+
+def write_sequences(df: DataFrame, path: str, kind: str = "fasta", compression: str = "none", records: int = FILE_RECORDS) -> None:
+    """Text files, one or more for each partition of (name, [accession], [description], seq), ``gzip`` or plain, each of
+    at most ``records`` records."""
+    SEQUENCE_TEXT[kind](df).write.option("compression", compression).option("maxRecordsPerFile", records).text(path)
 
 
 def write_fasta(df: DataFrame, path: str, width: int = formats.WIDTH) -> None:
