@@ -69,9 +69,14 @@ def vertices(spark, d):
     return frame(spark, d, "supplier").select(F.col("s_nationkey").cast("bigint").alias("g"), F.col("s_suppkey").alias("i"))
 
 
+def _dealt(v):
+    """The rows of a small file dealt to all tasks, each of which makes its own pairs."""
+    return v.repartition(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "i")
+
+
 def links(spark, d):
     v = vertices(spark, d)
-    w = v.withColumnRenamed("i", "j")
+    v, w = _dealt(v), v.withColumnRenamed("i", "j")
     return v.join(w, "g").where("i < j and (i * 7 + j * 13) % 3 = 0").select("g", "i", "j")
 
 
@@ -164,7 +169,7 @@ def _(spark, d):
 def _(spark, d):
     """Of all even vertices linked with all odd ones, as many as the fewer of the two."""
     v = vertices(spark, d)
-    whole = v.where("i % 2 = 0").join(v.where("i % 2 = 1").withColumnRenamed("i", "j"), "g").select("g", "i", "j")
+    whole = _dealt(v.where("i % 2 = 0")).join(v.where("i % 2 = 1").withColumnRenamed("i", "j"), "g").select("g", "i", "j")
     return graphs.matching_size(graphs.matching(whole))
 
 
