@@ -91,19 +91,16 @@ def per_alignment(rows: DataFrame, make: Callable[[list[int], list[str]], list],
         out = make(f["idx"].tolist(), f["aln"].tolist())
         return pd.DataFrame([(key[0], *r) for r in out], columns=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.select("msa_id", "idx", "aln").groupBy("msa_id").applyInPandas(run, schema)
+    return tree.dealt(rows.select("msa_id", "idx", "aln"), "msa_id").groupBy("msa_id").applyInPandas(run, schema)
 
 
 def identity_table(texts: list[str], abc: Alphabet) -> np.ndarray:
     """Identities of every two texts."""
-    grid = np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), -1)
-    residue = np.isin(grid, np.frombuffer(abc.residues.encode(), np.uint8))
-    counts = residue.sum(1)
-    out = np.eye(len(texts))
-    for i in range(len(texts)):
-        same = ((grid == grid[i]) & residue & residue[i]).sum(1)
-        least = np.minimum(counts, counts[i])
-        out[i] = np.where(least > 0, same / np.maximum(least, 1), 0.0)
+    every = np.arange(len(texts))
+    out = np.empty((len(texts), len(texts)))
+    known = pairs.Identities(texts, abc)
+    for lo in range(0, len(texts), 256):
+        out[lo : lo + 256] = known.between(every[lo : lo + 256], every)
     return out
 
 
@@ -133,7 +130,7 @@ def tree_weights(rows: DataFrame, abc: Alphabet) -> DataFrame:
         n = len(idx)
         if n == 1:
             return [(idx[0], 1.0)]
-        t = tree.linkage(1 - identity_table(texts, abc), "average")
+        t = tree.linkage_of_rows(texts, abc, "average")
         below = [0.0] * (2 * n - 1)
         for node in range(n, 2 * n - 1):
             below[node] = sum(below[c] + t.length[c] for c in t.children(node))

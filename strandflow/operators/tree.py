@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.alphabet import Alphabet
 from ..sources import scratch
+from .pairs import Identities
 
 NODE = "tree_id long, node long, parent long, left long, right long, branch_length double, size long, name string"
 
@@ -71,40 +73,72 @@ class Tree:
         return n == 2 * self.leaves - 1 and [i for i in range(n) if self.parent[i] < 0] == [n - 1]
 
 
-#: Leaves of the largest tree that is built: its distances fill 800 MB.
-MOST_LEAVES = 10_000
+#: Leaves of the largest tree that is built: its distances fill 1,600 MB.
+MOST_LEAVES = 20_000
+
+
+def _starts(n: int) -> np.ndarray:
+    """Where, less j, the distances of i to each j > i begin among those of every two."""
+    i = np.arange(n)
+    return i * n - i * (i + 1) // 2 - i - 1
+
+
+def _few(n: int) -> int:
+    if n > MOST_LEAVES:
+        raise ValueError(f"{n} leaves: a tree of over {MOST_LEAVES} needs more memory than a task has")
+    return n
 
 
 def linkage(d: np.ndarray, method: str = "average", names: list[str] | None = None) -> Tree:
     """``average`` (weighted by size), ``weighted`` (plain mean of two), ``single`` or ``complete``. The pair of
     smallest distance is merged, the first such pair in order of node; a node's height is half the distance
     for the two averages and the distance itself for the others."""
-    n = len(d)
-    if n > MOST_LEAVES:
-        raise ValueError(f"{n} leaves: a tree of over {MOST_LEAVES} needs more memory than a task has")
+    n = _few(len(d))
+    return _linked(np.asarray(d, float)[np.triu_indices(n, 1)], n, method, names)
+
+
+def linkage_of_rows(texts: list[str], abc: Alphabet, method: str, names: list[str] | None = None) -> Tree:
+    """``linkage`` by 1 - identity of an alignment's rows. Only one distance of every two is held."""
+    n = _few(len(texts))
+    known, every, at = Identities(texts, abc), np.arange(n), _starts(n)
+    dist = np.empty(n * (n - 1) // 2)
+    for lo in range(0, n, 64):
+        block = known.between(every[lo : lo + 64], every[lo:])
+        for i in range(lo, min(lo + 64, n)):
+            dist[at[i] + i + 1 : at[i] + n] = 1 - block[i - lo, i - lo + 1 :]
+    return _linked(dist, n, method, names)
+
+
+def _linked(dist: np.ndarray, n: int, method: str, names: list[str] | None) -> Tree:
+    """``linkage`` of the distances of every two, i < j in order of i and j, which are overwritten."""
     names = names or [str(i) for i in range(n)]
     total = 2 * n - 1
     t = Tree([-1] * total, [-1] * total, [-1] * total, [0.0] * total, [1] * total, names)
     # A cluster keeps the place of one of its two parts; ``ids`` names the node that a place holds, -1 for none.
-    dist = np.array(d, float)
+    starts = _starts(n)
+    to = lambda r, x: np.where(x < r, starts[x] + r, starts[r] + x)
     ids, height = np.arange(n), np.zeros(total)
     near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+    live = np.arange(n)
 
     def look(r: int) -> None:
         """The nearest cluster with a larger node than that of place ``r``, the smallest node of equal ones."""
-        later = np.flatnonzero(ids > ids[r])
+        later = live[ids[live] > ids[r]]
         least[r] = np.inf
         if len(later):
-            least[r] = dist[r, later].min()
-            ties = later[dist[r, later] == least[r]]
+            d = dist[to(r, later)]
+            least[r] = d.min()
+            ties = later[d == least[r]]
             near[r] = ties[ids[ties].argmin()]
 
     for r in range(n):
         look(r)
     for node in range(n, total):
-        live = np.flatnonzero(ids >= 0)
-        ties = live[least[live] == least[live].min()]
+        own = least[live]
+        ties = live[own == own.min()]
         p = int(ties[ids[ties].argmin()])
+        if near[p] < 0:
+            look(p)
         q = int(near[p])
         a, b = int(ids[p]), int(ids[q])
         gap = float(least[p])
@@ -114,15 +148,21 @@ def linkage(d: np.ndarray, method: str = "average", names: list[str] | None = No
         for c in (a, b):
             t.parent[c] = node
             t.length[c] = float(height[node] - height[c])
-        da, db = dist[p], dist[q]
+        live = live[live != q]
+        others = live[live != p]
+        da, db = dist[to(p, others)], dist[to(q, others)]
         merged = {"average": lambda: (t.size[a] * da + t.size[b] * db) / t.size[node], "weighted": lambda: (da + db) / 2, "single": lambda: np.minimum(da, db), "complete": lambda: np.maximum(da, db)}[method]()
-        dist[p], dist[:, p] = merged, merged
-        ids[p], ids[q], least[q] = node, -1, np.inf
-        for r in np.flatnonzero(ids >= 0):
-            if r == p or near[r] in (p, q):
-                look(r)
-            elif dist[r, p] < least[r]:  # the new node is the largest: it wins only if it is nearer
-                near[r], least[r] = p, dist[r, p]
+        dist[to(p, others)] = merged
+        ids[p], ids[q] = node, -1
+        least[p] = least[q] = np.inf  # no node is later than the new one
+        lost = (near[others] == p) | (near[others] == q)
+        if method == "single":  # the least distance stays; which of those at it is first is looked up when it is needed
+            near[others[lost]] = -1
+            lost[:] = False
+        closer = ~lost & (merged < least[others])  # the new node is the largest: it wins only if it is nearer
+        near[others[closer]], least[others[closer]] = p, merged[closer]
+        for r in others[lost]:
+            look(r)
     return t
 
 
@@ -223,19 +263,53 @@ def simulate(leaves: int, seed: int) -> Tree:
     return t
 
 
-def grouped_trees(d: DataFrame, method: str = "average") -> DataFrame:
-    """Node rows (see NODE) of a tree for each msa_id of (msa_id, i, j, d) with i < j; leaves are the ids in
-    rising order, named by them. A tree is sequential and its matrix is held in one task."""
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Groups of ``key`` in as many partitions as the session names: their rows are few and small, so that Spark would
+    put all into one task, but the work on each is not."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def grouped_trees(rows: DataFrame, abc: Alphabet, method: str = "average") -> DataFrame:
+    """Node rows (see NODE) of a tree for each msa_id of (msa_id, idx, aln) with two rows or more, by 1 - identity;
+    leaves are the ids in rising order, named by them. A tree is sequential: one task is sent its alignment's rows, and
+    makes and holds their distances."""
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([f["i"], f["j"]]))
-        m = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, f["i"]), np.searchsorted(ids, f["j"])
-        m[a, b] = m[b, a] = f["d"]
-        t = linkage(m, method, [str(x) for x in ids])
-        return pd.DataFrame(t.rows(key[0]), columns=[c.split()[0] for c in NODE.split(", ")])
+        f = f.sort_values("idx")
+        t = linkage_of_rows(f["aln"].tolist(), abc, method, [str(x) for x in f["idx"]])
+        return pd.DataFrame(t.rows(key[0]) if len(f) > 1 else [], columns=[c.split()[0] for c in NODE.split(", ")])
+
+    return dealt(rows.select("msa_id", "idx", "aln"), "msa_id").groupBy("msa_id").applyInPandas(run, NODE)
 
-    return d.select("msa_id", "i", "j", "d").groupBy("msa_id").applyInPandas(run, NODE)
+
+def heights(rows: DataFrame, nodes: DataFrame, abc: Alphabet, method: str) -> DataFrame:
+    """(tree_id, node, height, wanted): of each inner node the height over its leaves, and the one that its linkage
+    gives to the distances between the leaves under its two children. These are looked at in blocks."""
+
+    def run(key, f: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        t = _of_rows(x)
+        place = {str(i): k for k, i in enumerate(f["idx"])}
+        known, out = Identities(f["aln"].tolist(), abc), []
+        below = {i: np.array([place[name]]) for i, name in enumerate(t.names)}
+        share, high = np.ones(len(f)), [0.0] * len(t.parent)
+        for node in range(t.leaves, len(t.parent)):
+            a, b = t.children(node)
+            high[node] = high[a] + t.length[a]
+            left, right = below.pop(a), below.pop(b)
+            step = max(1, BLOCK // len(right))
+            found = []
+            for lo in range(0, len(left), step):
+                part = left[lo : lo + step]
+                d = 1 - known.between(part, right)
+                found.append({"average": lambda: d.sum(), "weighted": lambda: share[part] @ d @ share[right], "single": lambda: d.min(), "complete": lambda: d.max()}[method]())  # noqa: B023
+            wanted = {"average": lambda: sum(found) / (len(left) * len(right)) / 2, "weighted": lambda: sum(found) / 2, "single": lambda: min(found), "complete": lambda: max(found)}[method]()  # noqa: B023
+            below[node] = np.concatenate([left, right])
+            share[below[node]] /= 2
+            out.append((key[0], node, high[node], float(wanted)))
+        return pd.DataFrame(out, columns=["tree_id", "node", "height", "wanted"])
+
+    own = dealt(rows.select(F.col("msa_id").alias("tree_id"), "idx", "aln").join(nodes.select("tree_id").distinct(), "tree_id", "left_semi"), "tree_id")
+    return own.groupBy("tree_id").cogroup(dealt(nodes, "tree_id").groupBy("tree_id")).applyInPandas(run, "tree_id long, node long, height double, wanted double")
 
 
 def _of_rows(f: pd.DataFrame) -> Tree:
@@ -268,14 +342,50 @@ def read_newick(texts: DataFrame) -> DataFrame:
     return texts.select("tree_id", "value").mapInPandas(run, NODE)
 
 
-def path_lengths(nodes: DataFrame) -> DataFrame:
-    """(tree_id, a, b, d): the path between every two leaves, a < b by name."""
+#: Pairs of leaves that are looked at, or given out, at a time.
+BLOCK = 1 << 20
 
-    def make(t: Tree):
-        d = t.distances()
-        return [(*sorted((t.names[i], t.names[j])), float(d[i, j])) for i in range(t.leaves) for j in range(i)]
 
-    return _each(nodes, make, "tree_id long, a string, b string, d double")
+def path_lengths(nodes: DataFrame) -> DataFrame:
+    """(tree_id, a, b, d): the path between every two leaves, a < b by name. A tree is a row; its pairs are given out
+    in blocks, node by node."""
+    fields = [c.split()[0] for c in NODE.split(", ")][1:]
+
+    def parts(key, t: Tree):
+        order = sorted(range(t.leaves), key=lambda i: t.names[i])
+        names, rank, up = np.array(t.names, object)[order], np.argsort(order), np.zeros(t.leaves)
+        below = {i: np.array([i]) for i in range(t.leaves)}
+        for node in range(t.leaves, len(t.parent)):
+            left, right = (below.pop(c) for c in t.children(node))
+            for x, c in zip((left, right), t.children(node)):
+                up[x] += t.length[c]
+            step = max(1, BLOCK // len(right))
+            for lo in range(0, len(left), step):
+                part = left[lo : lo + step]
+                x, y = np.repeat(rank[part], len(right)), np.tile(rank[right], len(part))
+                yield key, names[np.minimum(x, y)], names[np.maximum(x, y)], (up[part][:, None] + up[right]).ravel()
+            below[node] = np.concatenate([left, right])
+
+    def run(frames):
+        for f in frames:
+            for key, packed in zip(f["tree_id"], f["nodes"]):
+                rows, size = [], 0
+                for part in parts(key, _of_rows(pd.DataFrame([tuple(n[c] for c in fields) for n in packed], columns=fields))):
+                    rows.append(part)
+                    size += len(part[3])
+                    if size >= BLOCK:
+                        yield _together(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _together(rows)
+
+    one = nodes.groupBy("tree_id").agg(F.collect_list(F.struct(*fields)).alias("nodes"))
+    one = one.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # in turn: a row is a tree
+    return one.mapInPandas(run, "tree_id long, a string, b string, d double")
+
+
+def _together(parts: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"tree_id": parts[0][0], **{c: np.concatenate([p[i] for p in parts]) for i, c in ((1, "a"), (2, "b"), (3, "d"))}})
 
 
 def all_valid(nodes: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import wuss
 from ..functions.alphabet import DNA
-from ..operators import graphs, pairs, tree
+from ..operators import graphs, tree
+from ..sources import scratch
 from .alignments import _PAIR
-from .inputs import LENGTH, frame, oracle
+from .inputs import frame, oracle
 
 QUERIES, SQL = {}, {}
 
@@ -174,7 +175,7 @@ def _(spark, d):
 
 
 def _trees(spark, d, method):
-    return tree.grouped_trees(pairs.distances(frame(spark, d, "small_msa"), DNA, LENGTH), method)
+    return tree.grouped_trees(frame(spark, d, "small_msa"), DNA, method)
 
 
 _TREES = "select s_nationkey::bigint as tree_id, count(*) - 1 as merges, true as exact, true as rising from supplier group by 1 having count(*) > 1"
@@ -183,13 +184,8 @@ _TREES = "select s_nationkey::bigint as tree_id, count(*) - 1 as merges, true as
 def _merge_checks(spark, d, method):
     """Whether each inner node lies at the height that its linkage gives to the leaves under its two children, and
     no node under an earlier one."""
-    dist = pairs.distances(frame(spark, d, "small_msa"), DNA, LENGTH)
-    both = dist.unionByName(dist.select("msa_id", F.col("j").alias("i"), F.col("i").alias("j"), "d")).select(F.col("msa_id").alias("tree_id"), F.col("i").cast("string").alias("a"), F.col("j").cast("string").alias("b"), "d")
-    m = tree.merges(tree.grouped_trees(dist, method))
-    cells = m.select("tree_id", "node", "height", F.explode("left").alias("x"), "right").select("tree_id", "node", "height", "x", F.explode("right").alias("y"))
-    cells = cells.select("tree_id", "node", "height", F.col("x.name").alias("a"), F.col("y.name").alias("b"), (F.col("x.share") * F.col("y.share")).alias("w")).join(both, ["tree_id", "a", "b"])
-    wanted = {"average": F.avg("d") / 2, "weighted": F.sum(F.col("w") * F.col("d")) / 2, "single": F.min("d"), "complete": F.max("d")}[method]
-    each = cells.groupBy("tree_id", "node").agg(F.first("height").alias("height"), wanted.alias("wanted"))
+    rows = frame(spark, d, "small_msa")
+    each = tree.heights(rows, scratch.cut(tree.grouped_trees(rows, DNA, method), "nodes"), DNA, method)
     before = F.lag("height").over(Window.partitionBy("tree_id").orderBy("node"))
     each = each.withColumn("before", before)
     return each.groupBy("tree_id").agg(F.count(F.lit(1)).alias("merges"), (F.max(F.abs(F.col("height") - F.col("wanted"))) < 1e-9).alias("exact"), F.min(F.coalesce(F.col("height") >= F.col("before") - 1e-12, F.lit(True))).alias("rising"))
