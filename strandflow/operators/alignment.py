@@ -142,9 +142,10 @@ def shuffle_within_columns(rows: DataFrame, seed: int) -> DataFrame:
     w = Window.partitionBy("msa_id", "col")
     ranked = long.select("msa_id", "col", "symbol", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "msa_id", "idx", "col"), "idx")).alias("r"))
     places = long.select("msa_id", "col", "idx", F.row_number().over(w.orderBy("idx")).alias("r"))
-    dealt = places.join(ranked, ["msa_id", "col", "r"])
+    # By their file's size these look small enough to broadcast, but they hold a row for each cell.
+    dealt = places.hint("merge").join(ranked, ["msa_id", "col", "r"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "symbol"))), lambda x: x["symbol"]), "")
-    return rows.drop("aln").join(dealt.groupBy("msa_id", "idx").agg(text.alias("aln")), ["msa_id", "idx"])
+    return rows.drop("aln").hint("merge").join(dealt.groupBy("msa_id", "idx").agg(text.alias("aln")), ["msa_id", "idx"])
 
 
 def flush_left(aln: Column | str, rf: str) -> Column:

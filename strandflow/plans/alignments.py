@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA
 from ..operators import alignment, clusters, markup, pairs
-from .inputs import LENGTH, frame, oracle
+from .inputs import LENGTH, frame, oracle, spread
 
 QUERIES, SQL = {}, {}
 
@@ -135,7 +135,7 @@ def _(spark, d):
 @query("shuffle_within_columns", over_cells("msa", "select msa_id, col::int as col, string_agg(x, '' order by x) as symbols from cell group by all"))
 def _(spark, d):
     """Each column's symbols, in order."""
-    cells = alignment.cells(alignment.shuffle_within_columns(frame(spark, d, "msa"), 1))
+    cells = alignment.cells(alignment.shuffle_within_columns(spread(spark, d, "msa"), 1))
     return cells.groupBy("msa_id", "col").agg(F.array_join(F.sort_array(F.collect_list("symbol")), "").alias("symbols"))
 
 
