@@ -8,7 +8,7 @@ from ..functions import codecs
 from ..functions.alphabet import DNA
 from ..operators import codes, resampling
 from ..sources import binary, files, indexed, scratch
-from .inputs import frame, oracle
+from .inputs import frame, oracle, spread
 
 QUERIES, SQL = {}, {}
 
@@ -239,20 +239,20 @@ _SORTED = "array_to_string(list_sort(string_split(seq, '')), '')"
 
 @query("shuffled_residues", _kept("s", _SORTED))
 def _(spark, d):
-    s = frame(spark, d, "seqs").select("id", resampling.shuffled("seq", "id", 3).alias("s"))
+    s = spread(spark, d, "seqs").select("id", resampling.shuffled("seq", "id", 3).alias("s"))
     return s.select("id", F.array_join(F.array_sort(F.filter(F.split("s", ""), lambda c: c != "")), "").alias("kept"))
 
 
 @query("shuffled_doublets", _kept("s", "array_to_string(list_sort(list_transform(range(1, length(seq)), lambda i: substring(seq, i::int, 2))), '')"))
 def _(spark, d):
-    s = frame(spark, d, "seqs").select("id", resampling.shuffled_doublets("seq", "id", 3).alias("s"))
+    s = spread(spark, d, "seqs").select("id", resampling.shuffled_doublets("seq", "id", 3).alias("s"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
     return s.select("id", F.array_join(F.array_sort(pairs), "").alias("kept"))
 
 
 @query("markov_residues", oracle("seqs", sql="select id, length(seq)::int as n0, length(seq)::int as n1 from seqs"))
 def _(spark, d):
-    s = frame(spark, d, "seqs")
+    s = spread(spark, d, "seqs")
     return s.select("id", F.length(resampling.markov("seq", "id", 3, 0)).alias("n0"), F.length(resampling.markov("seq", "id", 3, 1)).alias("n1"))
 
 
